@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, mixing, pii, quality, token_counts, token_output
+from . import decontam, licenses, media, mixing, pii, quality, suffix_dedup, token_counts, token_output
 from .common import documents
 
 THRESHOLD = 0.3
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), most=3)
     return rows.withColumn("target", F.round("target", 6)).withColumn("position", F.round("position", 9))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_pii,
         op3_media_columns,
         op5_token_counts,
+        op6_suffix_array_dedup,
         op7_mixing_sources,
         op8_quality_classifier,
         op9_license_scans,

@@ -70,10 +70,10 @@ def inverse(u: Column, knots: tuple[tuple[float, float], ...]) -> Column:
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, schedules=SCHEDULES, rows_per_bucket: int = 20_000) -> DataFrame:
-    """Every row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, place (words of its source before it), rank, source_taken, and the key columns _h and _source."""
+    """Every row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, place (words of its source before it), rank and uid."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.col("doc_id").cast("long")
-    sized = table(docs.select(ids.alias("doc_id"), source_key().alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce(ids.cast("string"), F.lit(""))).alias("_h"), F.xxhash64(text).alias("_x")), "sizes")
+    sized = table(docs.select(ids.alias("doc_id"), source_key().alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce(ids.cast("string"), F.lit(""))).alias("_h"), F.xxhash64(text).alias("_x"), F.monotonically_increasing_id().alias("uid")), "sizes")
     n = sized.count()
     digits = 0
     while 16**digits * rows_per_bucket < n:
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
     extra = F.when(F.col("place") + F.col("size") / 2 <= part * F.col("source_size"), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.least(whole + extra, F.lit(most))).otherwise(0).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "place", "rank", "_source", "_h", "_x")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "place", "rank", "uid")
 
 
 def position(copy: Column | int = 0, schedules=SCHEDULES) -> Column:
@@ -115,19 +115,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as training reads them: each as often as it is taken, range-sorted by position, columns as they are.
 
-    Rows without words hold no training words and are left out by the mix; equal rows
-    (same id and text) get the copies of one of them each.
+    Rows that the mix takes no word of are left out.  Rows are told apart by their place in
+    docs, which must be a table scan or a written table, so that it reads alike each time.
     """
-    ids = F.col("doc_id").cast("long")
-    key = [F.coalesce(ids.cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), source_key()]
-    names = [f"_mix_{k}" for k in range(4)]
-    same = Window.partitionBy("_k", "_x", "_source").orderBy("place")
-    rows = plan(docs, **how).where("copies > 0").withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("_n", F.row_number().over(same)).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.select(F.col("_k").alias(names[0]), F.col("_x").alias(names[1]), F.col("_source").alias(names[2]), F.col("_n").alias(names[3]), position(F.col("_copy")).alias("_mix_at"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(n) for k, n in zip(key, names[:3], strict=True)])
-    keyed = keyed.withColumn(names[3], F.row_number().over(Window.partitionBy(*names[:3]).orderBy(F.lit(1))))
-    return keyed.join(rows, names).orderBy("_mix_at", names[0]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = plan(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    rows = rows.select(F.col("uid").alias("_mix_uid"), position(F.col("_copy")).alias("_mix_at"))
+    keyed = docs.withColumn("_mix_uid", F.monotonically_increasing_id())
+    return keyed.join(rows, "_mix_uid").orderBy("_mix_at", "_mix_uid").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle_sql(weights: tuple[int, ...] = (5, 2, 1), most: int = 3, schedules=SCHEDULES) -> str:

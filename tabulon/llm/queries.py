@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, media, mixing, pii, quality, suffix_dedup, token_counts, token_output
+from . import decontam, jaccard_join, licenses, media, mixing, pii, quality, suffix_dedup, token_counts, token_output
 from .common import documents
 
 THRESHOLD = 0.3
@@ -28,6 +28,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_benchmark_decontamination,
         op2_pii,
         op3_media_columns,
+        op4_jaccard_join,
         op5_token_counts,
         op6_suffix_array_dedup,
         op7_mixing_sources,

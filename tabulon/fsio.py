@@ -44,8 +44,8 @@ class Files:
             fs.delete(t, True)
         if not fs.rename(s, t):
             raise OSError(f"cannot move {source} to {target}")
-        with contextlib.suppress(Exception):  # a checksum file of the old name
-            fs.delete(self._path(s.getParent(), f".{s.getName()}.crc"), False)
+        with contextlib.suppress(Exception):  # the checksum file that local file systems move along
+            fs.delete(self._path(t.getParent(), f".{t.getName()}.crc"), False)
 
     def list(self, path: str) -> list[str]:
         """Files in a folder, by name."""

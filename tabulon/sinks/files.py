@@ -134,9 +134,10 @@ def write_in_tasks(df: DataFrame, staging: str, schema: pa.Schema, options, deci
     return df.mapInArrow(run, _WRITTEN).collect()
 
 
-def _commit(files: Files, moves: list[tuple[str, str]], overwrite: bool, create_dirs: bool) -> None:
+def _check_targets(files: Files, targets: list[str], overwrite: bool, create_dirs: bool) -> None:
+    """Each path once, free unless overwriting, in a folder that is there or may be made."""
     taken: set[str] = set()
-    for _, target in moves:
+    for target in targets:
         if target in taken:
             raise PathCollision(f"several partitions would be written to {target}")
         taken.add(target)
@@ -145,6 +146,10 @@ def _commit(files: Files, moves: list[tuple[str, str]], overwrite: bool, create_
         folder = target.rpartition("/")[0]
         if folder and not create_dirs and not files.exists(folder):
             raise FileNotFoundError(f"the folder {folder} does not exist")
+
+
+def _commit(files: Files, moves: list[tuple[str, str]], overwrite: bool, create_dirs: bool) -> None:
+    _check_targets(files, [target for _, target in moves], overwrite, create_dirs)
     for source, target in moves:
         folder = target.rpartition("/")[0]
         if folder:
@@ -229,7 +234,7 @@ def write_partitioned(df: DataFrame, template: str, by: list[str], options, stra
     spec = sort or SortSpec()
     rows = df.withColumn("__key", mark)
     if strategy == "sort-single":
-        dealt = rows.repartition(*keys).sortWithinPartitions(*order(spec.after(by)), "__key")
+        dealt = rows.repartition(*keys).sortWithinPartitions("__key", *order(spec.without(by)))
     elif strategy == "nosort-multi":
         dealt = rows.withColumn("__at", F.monotonically_increasing_id()).repartition(*keys).sortWithinPartitions("__at")
     else:
@@ -247,6 +252,7 @@ def write_partitioned(df: DataFrame, template: str, by: list[str], options, stra
         if not create_dirs:
             raise FileNotFoundError(f"the folder {base} does not exist")
         files.make_dirs(base)
+    _check_targets(files, [t.resolve(dict(zip(by, v, strict=True))) for v in values.values()], overwrite, create_dirs)
     staging = files.full(f"{base}/.tabulon-{uuid.uuid4().hex}")
     columns = [named(c) for c in kept.columns]
     found = []
@@ -261,11 +267,12 @@ def write_partitioned(df: DataFrame, template: str, by: list[str], options, stra
             key = int(folder.rpartition("=")[2])
             for n, part in enumerate(f for f in files.list(folder) if f.rpartition("/")[2].startswith("part-")):
                 found.append((key, n, part, _footer_rows(files.full(part))))
-        found.sort(key=lambda x: [(v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in values[x[0]]])
     else:
         files.make_dirs(staging)
         got = write_in_tasks(dealt.select("__key", *columns), staging, schema, options, decided, cap if strategy == "nosort-evict" else None)
         found = [(r["key"], r["number"], r["file"], r["rows"]) for r in sorted(got, key=lambda r: r["at"])]
+    if strategy == "sort-single":  # in the order of the partition columns, nulls last
+        found.sort(key=lambda x: [(v is None, 0 if v is None else v) for v in values[x[0]]])
     out, moves = [], []
     for key, number, part, n in found:
         v = dict(zip(by, values[key], strict=True))

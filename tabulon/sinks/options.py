@@ -12,6 +12,10 @@ from ..plans.decisions import Columns, Decision
 from ..plans.options import SortSpec
 
 
+#: Hadoop's names of the gzip levels 0 to 9.
+GZIP_LEVELS = ("NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
 @dataclass(frozen=True)
 class ArrowOptions:
     compression: str = "none"  # none, zstd, lz4
@@ -80,7 +84,7 @@ class ParquetOptions:
         if self.level is not None:
             out[f"parquet.compression.codec.{self.compression}.level"] = str(self.level)
             if self.compression == "gzip":
-                out["zlib.compress.level"] = str(self.level)
+                out["zlib.compress.level"] = GZIP_LEVELS[self.level]
         for d in decided:
             forced = d.bloom is not None and d.bloom.ndv is not None and not d.dictionary
             out[f"parquet.enable.dictionary#{d.name}"] = str(d.dictionary and not forced).lower()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -22,7 +23,8 @@ def open_input(path: str):
 
 def reader(f):
     """A reader of the file format, or else of the stream format."""
-    magic = f.read_at(6, 0) if f.size() >= 6 else b""
+    magic = f.read(6)
+    f.seek(0)
     return pa.ipc.open_file(f) if magic == b"ARROW1" else pa.ipc.open_stream(f)
 
 
@@ -87,3 +89,35 @@ class ArrowIpc(DataSource):
 
     def reader(self, schema):
         return ArrowIpcReader(self.options["path"])
+
+
+class ParquetGroupsReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        with open_input(self.path) as f:
+            n = pq.read_metadata(f).num_row_groups
+        return [Batches(i, i + 1) for i in range(n)] or [Batches(0, 0)]
+
+    def read(self, partition):
+        with open_input(self.path) as f:
+            file = pq.ParquetFile(f)
+            to = target_schema(file.schema_arrow)
+            for b in file.iter_batches(8192, row_groups=list(range(partition.first, partition.last))):
+                yield convert(b, to)
+
+
+class ParquetGroups(DataSource):
+    """Parquet files with types or encodings that Spark's own reader refuses: a partition for each row group."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "parquet_groups"
+
+    def schema(self):
+        with open_input(self.options["path"]) as f:
+            return from_arrow_schema(target_schema(pq.read_schema(f)), prefer_timestamp_ntz=True)
+
+    def reader(self, schema):
+        return ParquetGroupsReader(self.options["path"])

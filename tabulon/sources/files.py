@@ -12,7 +12,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import OptionError, SchemaMismatch, Unsupported
-from .arrow_ipc import ArrowIpc
+from ..plans.types import leaves
+from .arrow_ipc import ArrowIpc, ParquetGroups
 
 _EXTENSIONS = {".arrow": "arrow", ".parquet": "parquet", ".vortex": "vortex"}
 #: Metadata of a stream message may not be larger.
@@ -146,8 +147,18 @@ class ParquetSource(Source):
     def row_count(self) -> int:
         return pq.read_metadata(self.path).num_rows
 
+    def spark_reads(self) -> bool:
+        """Whether Spark's own reader takes the file: it knows neither half floats, nanoseconds, times nor byte-stream-split pages."""
+        m = pq.read_metadata(self.path)
+        split = any("BYTE_STREAM_SPLIT" in m.row_group(g).column(c).encodings for g in range(min(1, m.num_row_groups)) for c in range(m.num_columns))
+        odd = lambda x: pa.types.is_float16(x) or pa.types.is_time(x) or (pa.types.is_timestamp(x) and x.unit == "ns")
+        return not split and not any(odd(leaf.type) for leaf in leaves(self.schema()))
+
     def scan(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        if self.spark_reads():
+            return spark.read.parquet(self.path)
+        spark.dataSource.register(ParquetGroups)
+        return spark.read.format("parquet_groups").option("path", self.path).load()
 
 
 class ArrowSource(Source):
@@ -194,7 +205,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def scan(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """UNION ALL of the inputs in path order; Parquet inputs alone are one scan."""
     same_schema(sources)
-    if all(isinstance(s, ParquetSource) for s in sources):
+    if all(isinstance(s, ParquetSource) and s.spark_reads() for s in sources):
         return spark.read.parquet(*[s.path for s in sources])
     return union_all([s.scan(spark) for s in sources])
 

@@ -12,6 +12,7 @@ each; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import slices, text_column
 from .common import SLICE_BYTES, small_batches
-from .tokens import KEEP_BYTES, Encoder, kind_of
+from .tokens import KEEP_BYTES, Encoder, kind_of, worker_encoder
 
 
 def pack(table: dict[bytes, int]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -62,10 +63,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, frequent: int = 3
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
+    tag = uuid.uuid4().hex
     packed = spark.sparkContext.broadcast(pack(frequent_pieces(docs, path, frequent, sample_rows)))
 
     def run(batches):
-        enc = Encoder(path, len, frequent=unpack(packed.value))
+        enc = worker_encoder(path, len, lambda: unpack(packed.value), tag)
         for b in batches:
             data, offsets = text_column(b)
             counts = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .arrays import slices, text_column
 from .common import SLICE_BYTES, partitions, scratch, small_batches
-from .tokens import Encoder, ids_bytes
+from .tokens import ids_bytes, worker_encoder
 
 SHARD = "part int, shard int, start long, n_ids long, base long, doc_ids binary, doc_nulls binary, symbols_before binary, rules binary, lengths binary, symbols binary"
 
@@ -37,18 +37,19 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 4, most:
     for _ in range(rounds):
         if len(ids) < 2:
             break
-        left, right = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-        pair = (left << np.uint64(32)) | right
-        bin_ = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        open_ = ~last[:-1]
-        often = np.flatnonzero((np.bincount(bin_[open_], minlength=1 << bits) >= least)[bin_] & open_)
-        found, count = np.unique(pair[often], return_counts=True)
+        # pairs are counted by hash first; only those of the fullest bins are sorted
+        bin_ = ((ids[:-1] * np.uint32(0x9E3779B1) + ids[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+        counts = np.bincount(bin_[~last[:-1]], minlength=1 << bits)
+        floor = max(least, int(np.partition(counts, -most)[-most]))
+        often = np.flatnonzero((counts >= floor)[bin_] & ~last[:-1])
+        pair = (ids[often].astype(np.uint64) << np.uint64(32)) | ids[often + 1]
+        found, count = np.unique(pair, return_counts=True)
         if not len(found) or count.max() < least:
             break
         keep = np.argsort(-count, kind="stable")[:most]
         found = np.sort(found[keep[count[keep] >= least]])
-        at = np.minimum(np.searchsorted(found, pair[often]), len(found) - 1)
-        hit = found[at] == pair[often]
+        at = np.minimum(np.searchsorted(found, pair), len(found) - 1)
+        hit = found[at] == pair
         where, rule = often[hit], at[hit]
         head = np.r_[True, np.diff(where) > 1]
         place = np.arange(len(where)) - np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
@@ -114,7 +115,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int =
     base = 1 << 20
 
     def run(batches):
-        enc, part, shard, start = Encoder(path, ids_bytes), TaskContext.get().partitionId(), 0, 0
+        enc, part, shard, start = worker_encoder(path, ids_bytes), TaskContext.get().partitionId(), 0, 0
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             data, offsets = text_column(b)

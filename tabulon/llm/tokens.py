@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -24,8 +25,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _CAREFUL = re.compile(rb"(?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])+|[ \t\n](?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])*")
 #: Pieces longer than this are encoded anew each time.
 KEEP_BYTES = 48
-#: Pieces that a worker keeps; when reached, the store is emptied and filled anew.
-KEEP = 800_000
+#: Pieces that a worker keeps.  The store has two halves; a full one becomes the older, and what is found there moves on.
+KEEP = 1_000_000
+#: Missing pieces that are encoded as one text.
+JOIN = 2_048
 
 
 def careful(text: bytes) -> list[bytes]:
@@ -65,7 +68,7 @@ def kind_of(path: str) -> str:
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
 
 
 class Encoder:
@@ -85,12 +88,42 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self._encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model = model
         self.known: dict[bytes, object] = {}
+        self.older: dict[bytes, object] = {}
         self.frequent = frequent or {}
 
     def encode(self, parts: list[bytes]) -> list[object]:
         return [self.value(x) for x in self._encode([p.decode("utf-8") for p in parts])]
 
+    def _encode_keys(self, keys: list[bytes]) -> list[object]:
+        """Values of keys that may be joined to one text, cut again by the tokens' places."""
+        texts = [self.text_of(k).decode("utf-8") for k in keys]
+        gap = " " if self.kind == "words" else ""
+        got = self.model.encode(gap.join(texts), add_special_tokens=False)
+        ids, at = got.ids, [o[0] for o in got.offsets]
+        ends = np.cumsum([len(t) + len(gap) for t in texts])
+        cut = [0, *np.searchsorted(np.asarray(at, np.int64), ends, "left").tolist()]
+        return [self.value(ids[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+
+    def learn(self, miss: list[bytes]) -> None:
+        known = self.known
+        if self.kind == "words":
+            alone: list[bytes] = []
+        elif self.kind == "spaced":
+            # joined, a piece must end in a character after which a space is a cut
+            edge = lambda k: 33 <= k[-1] <= 126 and 33 <= k[0] <= 126 if k else False
+            alone = [k for k in miss if not edge(k)]
+            miss = [k for k in miss if edge(k)]
+        else:
+            alone, miss = miss, []
+        for i in range(0, len(miss), JOIN):
+            part = miss[i : i + JOIN]
+            known.update(zip(part, self._encode_keys(part), strict=True))
+        for i in range(0, len(alone), JOIN):
+            part = alone[i : i + JOIN]
+            known.update(zip(part, self.encode([self.text_of(p) for p in part]), strict=True))
+
     def split(self, data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
         """The pieces of each document as store keys.  In `spaced` texts, keys stand for a space and the piece, but for the first, whose key ends in a NUL mark, as do the keys of careful cuts."""
         raw, o = data.tobytes(), offsets.tolist()
@@ -115,19 +148,20 @@ class Encoder:
 
     def values(self, pieces: list[list[bytes]]) -> list[list[object]]:
         """The value of each piece of each document."""
-        known, frequent = self.known, self.frequent
+        if len(self.known) > KEEP // 2:
+            self.older, self.known = self.known, {}
+        known, frequent, older = self.known, self.frequent, self.older
         seen = set().union(*pieces) if pieces else set()
-        miss = [p for p in seen if p not in frequent and p not in known]
-        if len(known) + len(miss) > KEEP:
-            known.clear()
-            miss = [p for p in seen if p not in frequent]
-        for i in range(0, len(miss), 4096):
-            part = miss[i : i + 4096]
-            known.update(zip(part, self.encode([self.text_of(p) for p in part]), strict=True))
-        both = frequent | known if len(frequent) > len(known) else None
-        if both is not None:
-            out = [list(map(both.__getitem__, p)) for p in pieces]
-        elif frequent:
+        miss = []
+        for p in seen:
+            if p not in known and p not in frequent:
+                v = older.get(p)
+                if v is None:
+                    miss.append(p)
+                else:
+                    known[p] = v
+        self.learn(miss)
+        if frequent:
             out = []
             for p in pieces:
                 v = list(map(frequent.get, p))
@@ -138,3 +172,15 @@ class Encoder:
             if len(p) > KEEP_BYTES:
                 del known[p]
         return out
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(path: str, value: Callable[[list[int]], object], frequent: Callable[[], dict] | None = None, tag: object = None) -> Encoder:
+    """The encoder of this worker process: its store outlives the task.  `frequent` is called once for each tag."""
+    key = (path, value.__name__, tag)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, value, frequent=frequent() if frequent else None)
+    return _encoders[key]

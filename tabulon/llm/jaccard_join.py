@@ -31,15 +31,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, slices, text_column, words
-from .common import SLICE_BYTES, partitions, small_batches, table
+from .common import SLICE_BYTES, partitions, scratch, small_batches, table
 from .components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
-PERCENT, SHINGLE, SMALL, HOT = 75, 5, 64, 64
+PERCENT, SHINGLE, SMALL, HOT = 75, 5, 64, 24
 #: Segments of a band are 2^k / LOAD: a set fills them 1.25 to 2.5 times over in its own band.
 LOAD = 1.25
 
@@ -272,37 +274,94 @@ def _groups(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that link: by wide sketches, then by the sets of one document of each node."""
-    of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+def _by_partition(df: DataFrame, uid: str, name: str) -> str:
+    """Write df in one folder for each partition of the documents' scan, which is what the upper bits of a uid number."""
+    path = scratch(df.sparkSession, name)
+    df.withColumn("part", F.shiftright(uid, 33)).repartition("part").write.partitionBy("part").option("compression", "none").parquet(path)
+    return path
 
-    def near(batches):
+
+def _of_partition(path: str, part: int) -> pa.Table | None:
+    store, base = fs.FileSystem.from_uri(f"{path}/part={part}")
+    if store.get_file_info(base).type == fs.FileType.NotFound:
+        return None
+    files = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in sorted(files)])
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """node, members: the sets of the wanted (uid, node), computed where the documents are read; no text is moved."""
+    path = _by_partition(wanted, "uid", f"{name}-wanted")
+
+    def run(batches):
+        nodes = None
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            keep = [100 * min(na, nb) >= PERCENT * max(na, nb) and distance(sa, sb) <= may_differ(na, nb) for _, _, na, sa, nb, sb in rows]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            if not b.num_rows:
+                continue
+            if nodes is None:
+                t = _of_partition(path, b.column(0)[0].as_py() >> 33)
+                nodes = {} if t is None else dict(zip(t.column("uid").to_pylist(), t.column("node").to_pylist(), strict=True))
+            uid = b.column(0).to_pylist()
+            pick = [k for k, u in enumerate(uid) if u in nodes]
+            if pick:
+                b = b.take(pa.array(pick))
+                data, offsets = text_column(b)
+                for i, j in slices(offsets, SLICE_BYTES):
+                    found = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield pa.record_batch([pa.array([nodes[uid[k]] for k in pick[i:j]], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
 
-    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    left = table(joined.mapInArrow(near, "a long, b long"), f"{name}-near")
-    wanted = left.select("a").unionByName(left.select(F.col("b").alias("a"))).distinct().join(nodes.select(F.col("node").alias("a"), "uid"), "a").select("uid", F.col("a").alias("node"))
+    return docs.select("uid", "text").mapInArrow(run, "node long, members binary")
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b, uid of b, members of a) that link; b's set is computed where its document is read."""
+    path = _by_partition(pairs, "uid", f"{name}-pairs")
 
-    def sets(batches):
+    def run(batches):
+        asked: dict[int, list[int]] | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            if asked is None:
+                t = _of_partition(path, b.column(0)[0].as_py() >> 33)
+                asked = {}
+                for k, u in enumerate(t.column("uid").to_pylist() if t is not None else ()):
+                    asked.setdefault(u, []).append(k)
+            uid = b.column(0).to_pylist()
+            pick = [k for k, u in enumerate(uid) if u in asked]
+            if not pick:
+                continue
+            b = b.take(pa.array(pick))
             data, offsets = text_column(b)
+            out = []
             for i, j in slices(offsets, SLICE_BYTES):
-                found = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
+                for k, s in zip(pick[i:j], shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
+                    for r in asked[uid[k]]:
+                        if links(np.frombuffer(t.column("members")[r].as_py(), U64), s):
+                            out.append((t.column("a")[r].as_py(), t.column("b")[r].as_py()))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return docs.select("uid", "text").mapInArrow(run, "a long, b long")
 
-    texts = table(docs.select("uid", "text").join(wanted.hint("shuffle_hash"), "uid").select("node", "text").mapInArrow(sets, "node long, members binary"), f"{name}-sets", "none")
 
-    def check(batches):
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) that link: by wide sketches, then by the sets of one document of each node."""
+    of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+
+    def near(batches):
         for b in batches:
-            keep = [links(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            keep = [100 * min(na, nb) >= PERCENT * max(na, nb) and distance(sa, sb) <= may_differ(na, nb) for _, _, na, sa, nb, sb in rows]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = left.join(texts.select(F.col("node").alias("a"), F.col("members").alias("m_a")), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("members").alias("m_b")), "b")
-    return table(with_b.select("a", "b", "m_a", "m_b").mapInArrow(check, "a long, b long"), f"{name}-links")
+    joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    left = table(joined.mapInArrow(near, "a long, b long"), f"{name}-near")
+    where = nodes.select("node", "uid")
+    wanted = left.select(F.col("a").alias("node")).distinct().join(where, "node").select("uid", "node")
+    sets = table(_sets_of(docs, wanted, name), f"{name}-sets", "none")
+    asked = left.join(where.select(F.col("node").alias("b"), "uid"), "b").join(sets.select(F.col("node").alias("a"), "members"), "a")
+    return table(_checked(docs, asked.select("a", "b", "uid", "members"), name), f"{name}-links")
 
 
 def _weak_links(docs: DataFrame, weak: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:
@@ -352,21 +411,69 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
 
 
-def _cross(members: DataFrame, probes: DataFrame | None, labels: DataFrame) -> DataFrame:
-    """Pairs of members (g, node, n) of one group in different components.  One of a pair is outside the group's largest component; with probes (g, node), the larger set must be one."""
+def _mixed(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Members (g, node, n, ...) of the groups that hold more than one component, with their label and the group's largest (main)."""
     m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    if probes is not None:
-        m = m.join(probes.select("g", "node", F.lit(True).alias("probe")), ["g", "node"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-    else:
-        m = m.withColumn("probe", F.lit(True))
     sizes = m.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).where("parts > 1")
-    m = table(m.join(main, "g"), "mixed")
-    x = m.where("label <> main").select("g", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("probe").alias("px"))
-    y = m.select("g", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("probe").alias("py"))
+    return table(m.join(main.select("g", "main"), "g"), name)
+
+
+def _cross(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members (g, node, n) of one small group in different components; one of a pair is outside the group's largest."""
+    m = _mixed(members, labels, "mixed")
+    x = m.where("label <> main").select("g", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    y = m.select("g", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
     fits = (F.least("nx", "ny") * 100 >= PERCENT * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly"))
-    larger = F.when(F.col("nx") > F.col("ny"), F.col("px")).when(F.col("nx") < F.col("ny"), F.col("py")).otherwise(F.col("px") | F.col("py"))
-    return x.join(y, "g").where(fits & larger).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return x.join(y, "g").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    out = np.empty((len(sketches), width // 8), U64)
+    for k, raw in enumerate(sketches):
+        x = np.frombuffer(raw, U64)
+        while len(x) * 8 > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _cross_hot(warm: DataFrame, probes: DataFrame, labels: DataFrame, nodes: DataFrame, block: int = 2_000) -> DataFrame:
+    """Pairs of a hot group in different components whose larger set is a probe, and whose sketches allow a link.
+
+    Members are dealt into blocks by node, probes likewise; each pair of blocks is one group of rows
+    in which sketches are compared as arrays, so only pairs that may link become rows.
+    """
+    asked = probes.select("g", "node").withColumn("probe", F.lit(True))
+    m = _mixed(warm.join(asked, ["g", "node"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), labels, "hot")
+    m = m.join(nodes.select("node", "sketch"), "node")
+    # outside the largest component, or compared with what is: a probe needs all members unless the group has one component apart from it
+    size = m.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mb"), F.ceil(F.sum(F.col("probe").cast("int")) / block).cast("int").alias("pb"))
+    m = m.join(size, "g")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    columns = ["g", "i", "j", "side", "node", "n", "label", "sketch"]
+    left = m.where("probe").withColumn("i", at(F.col("pb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("side", F.lit(0)).select(columns)
+    right = m.where("pb > 0").withColumn("j", at(F.col("mb"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).withColumn("side", F.lit(1)).select(columns)
+
+    def solve(t: pa.Table) -> pa.Table:
+        side = np.asarray(t.column("side"))
+        node, n, label = (np.asarray(t.column(c)) for c in ("node", "n", "label"))
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        raw = t.column("sketch").to_pylist()
+        found_a, found_b = [], []
+        if len(p) and len(q):
+            sketches = _folded(raw, min(map(len, raw)))
+            for k in p:
+                fits = q[(n[q] <= n[k]) & (n[q] * 100 >= PERCENT * n[k]) & (label[q] != label[k])]
+                if len(fits):
+                    apart = np.bitwise_count(sketches[fits] ^ sketches[k]).sum(1, dtype=np.int64)
+                    fits = fits[apart <= may_differ(n[fits], n[k])]
+                    found_a.append(np.minimum(node[fits], node[k]))
+                    found_b.append(np.maximum(node[fits], node[k]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(solve, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_500_000, row_bytes: int = 64) -> DataFrame:
@@ -395,7 +502,7 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_500_000, row_
     probes = table(mine.where(F.col("rank") <= most + 1 - F.col("others")).select("g", "node", "n"), "probes")
     warm = table(members.select("g", "node", "n").join(probes.select("g").distinct(), "g", "left_semi"), "warm")
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    classes = warm.withColumn("level", level)
+    classes = probes.withColumn("level", level)
     heads = classes.groupBy("g", "level").agg(F.min(F.struct("node", "n")).alias("h"))
     stars = classes.join(heads, ["g", "level"]).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
     next_ = heads.select("g", (F.col("level") + 1).alias("level"), F.col("h").alias("k"))
@@ -408,7 +515,7 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_500_000, row_
     links_found.append(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), labels), nodes, rows, "second"))
     labels = _labels(links_found)
     cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n").distinct()
-    rest = _cross(cool, None, labels).unionByName(_cross(warm, probes, labels)).distinct()
+    rest = _cross(cool, labels).unionByName(_cross_hot(warm, probes, labels, nodes)).distinct()
     rest = table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
     links_found.append(_verified(rest, nodes, rows, "third"))
     labels = _labels(links_found)

@@ -22,7 +22,7 @@ LOWER[65:91] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash base and of its inverse, kept by the worker."""
     if len(_powers[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = max(1 << 16, n + n // 8 + 1)
         for k, base in enumerate((_BASE, _BASE_INV)):
             a = np.full(size, base, U64)
             a[0] = 1

@@ -37,11 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, slices, text_column, words
-from .common import SLICE_BYTES, partitions, scratch, small_batches, table
+from .common import partitions, scratch, small_batches, table
 from .components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 PERCENT, SHINGLE, SMALL, HOT = 75, 5, 64, 24
+#: Bytes of text that a worker handles at once: hashes take many times that.
+SLICE_BYTES = 2 << 20
 #: Segments of a band are 2^k / LOAD: a set fills them 1.25 to 2.5 times over in its own band.
 LOAD = 1.25
 
@@ -476,7 +478,7 @@ def _cross_hot(warm: DataFrame, probes: DataFrame, labels: DataFrame, nodes: Dat
     return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(solve, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_500_000, row_bytes: int = 64) -> DataFrame:
+def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> DataFrame:
     """doc_id, n_shingles, component_id and node of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -23,6 +23,14 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CAREFUL = re.compile(rb"(?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])+|[ \t\n](?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])*")
+#: Fixed value: the pre-token pattern of word-end vocabularies, as their files state it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same over printable ASCII and the letters U+00C0..U+00FF, where normalising is lower case alone.
+_SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIMPLE_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: How byte-level tokenizers write the bytes that such letters have.
+_BYTE_CHARS = {chr(c): "".join(chr(b) if 0xA1 <= b <= 0xAC or 0xAE <= b else chr(0x100 + 33 + b - 0x7F) if b <= 0xA0 else chr(0x143) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+_AS_BYTES = str.maketrans(_BYTE_CHARS)
 #: Pieces longer than this are encoded anew each time.
 KEEP_BYTES = 48
 #: Pieces that a worker keeps.  The store has two halves; a full one becomes the older, and what is found there moves on.
@@ -87,6 +95,9 @@ class Encoder:
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
+            pre = (json.loads(model.to_str())["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+            self.bpe = model.model if self.kind == "words" and pre[0].get("pattern", {}).get("Regex") == WORD_PATTERN else None
+            self.specials = [t.content for t in model.get_added_tokens_decoder().values()]
             self._encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.model = model
         self.known: dict[bytes, object] = {}
@@ -106,10 +117,26 @@ class Encoder:
         cut = [0, *np.searchsorted(np.asarray(at, np.int64), ends, "left").tolist()]
         return [self.value(ids[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
+    def _learn_simple(self, miss: list[bytes]) -> list[bytes]:
+        """Give plain pieces, whose pre-tokens are known without the normalizer, to the library's BPE model at once; returns the others."""
+        rest, known, bpe, value = [], self.known, self.bpe.tokenize, self.value
+        for p in miss:
+            text = p.decode("utf-8")
+            if not _SIMPLE.fullmatch(text) or any(x in text for x in self.specials):
+                rest.append(p)
+                continue
+            ids: list[int] = []
+            for w in _SIMPLE_WORDS.findall(text.lower()):
+                ids += [t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))]
+            known[p] = value(ids)
+        return rest
+
     def learn(self, miss: list[bytes]) -> None:
         known = self.known
         if self.kind == "words":
             alone: list[bytes] = []
+            if self.bpe is not None:
+                miss = self._learn_simple(miss)
         elif self.kind == "spaced":
             # joined, a piece must end in a character after which a space is a cut
             edge = lambda k: 33 <= k[-1] <= 126 and 33 <= k[0] <= 126 if k else False

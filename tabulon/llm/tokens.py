@@ -35,6 +35,8 @@ _AS_BYTES = str.maketrans(_BYTE_CHARS)
 KEEP_BYTES = 48
 #: Pieces that a worker keeps.  The store has two halves; a full one becomes the older, and what is found there moves on.
 KEEP = 1_000_000
+#: Pre-tokens whose ids a worker keeps, for the same word before other punctuation or in other case.
+WORDS = 150_000
 #: Missing pieces that are encoded as one text.
 JOIN = 2_048
 
@@ -102,6 +104,7 @@ class Encoder:
         self.model = model
         self.known: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
+        self.words: dict[str, list[int]] = {}
         self.frequent = frequent or {}
 
     def encode(self, parts: list[bytes]) -> list[object]:
@@ -119,7 +122,7 @@ class Encoder:
 
     def _learn_simple(self, miss: list[bytes]) -> list[bytes]:
         """Give plain pieces, whose pre-tokens are known without the normalizer, to the library's BPE model at once; returns the others."""
-        rest, known, bpe, value = [], self.known, self.bpe.tokenize, self.value
+        rest, known, bpe, value, words = [], self.known, self.bpe.tokenize, self.value, self.words
         for p in miss:
             text = p.decode("utf-8")
             if not _SIMPLE.fullmatch(text) or any(x in text for x in self.specials):
@@ -127,7 +130,12 @@ class Encoder:
                 continue
             ids: list[int] = []
             for w in _SIMPLE_WORDS.findall(text.lower()):
-                ids += [t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))]
+                got = words.get(w)
+                if got is None:
+                    got = [t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))]
+                    if len(words) < WORDS:
+                        words[w] = got
+                ids += got
             known[p] = value(ids)
         return rest
 
@@ -179,14 +187,12 @@ class Encoder:
             self.older, self.known = self.known, {}
         known, frequent, older = self.known, self.frequent, self.older
         seen = set().union(*pieces) if pieces else set()
-        miss = []
-        for p in seen:
-            if p not in known and p not in frequent:
-                v = older.get(p)
-                if v is None:
-                    miss.append(p)
-                else:
-                    known[p] = v
+        lacking = seen.difference(known)
+        if frequent:
+            lacking.difference_update(frequent)
+        again = lacking.intersection(older)
+        known.update((p, older[p]) for p in again)
+        miss = list(lacking - again)
         self.learn(miss)
         if frequent:
             out = []

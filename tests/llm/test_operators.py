@@ -310,7 +310,7 @@ def test_licenses(spark, odd, none):
     rows = [(1, "intro\nReleased under the MIT License\nmore", "s"), (2, "Licensed under the Apache License, Version 2.0. It says so here today", "s"), (3, "nothing", "s"), (4, licenses.TEMPLATES["gpl-3.0-header"].replace(",", "\n"), "s"), (5, None, "s")]
     got = {r.doc_id: r for r in licenses.scan(H.stored(spark, rows)).collect()}
     assert got[1].licenses == "mit" and got[1].best_dice == 1.0 and got[3].licenses == "" and got[5].best_license is None and got[4].best_license == "gpl-3.0-header"
-    m = got[1].matches[0]
+    m = max(got[1].matches, key=lambda m: m.dice)
     assert rows[0][1].encode()[m.start : m.end] == b"Released under the MIT License"
     assert got[2].licenses == ""  # 2 * 6 / (6 + 11) is below the threshold
     found = {r.doc_id: r.licenses for r in licenses.scan(odd).collect()}

@@ -6,12 +6,19 @@ Dice 2|A&B| / (|A|+|B|).  As |A&B| is at most the smaller size, a template whose
 size is too far from the segment's cannot reach the threshold and is passed over, and a
 segment without any template bigram is never compared.
 
+With ``windows``, notices inside longer lines, or spread over lines of any ending or comment sign,
+are found too: runs of words, up to as long as the size bound lets a template's match be, that begin and end with a
+bigram of the template.  Of overlapping windows of one template the best counts; segments that overlap
+one of its windows are left out.
+
 Null and empty texts, and segments of fewer than two words, match nothing; repeated rows
 give equal results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,12 +59,19 @@ class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         self.sets = []
+        self.lengths = []
         for n in self.names:
             data = LOWER[np.frombuffer(texts[n].encode(), np.uint8)]
             start, end, _ = words(data, np.array([0, len(data)]), ALNUM)
             self.sets.append(np.unique(_bigrams(data, start, end)[:-1]))
+            self.lengths.append(max(len(start) - 1, 0))
         self.sizes = np.array([len(s) for s in self.sets])
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, U64)
+        # the templates of each bigram of `all`, packed
+        which = np.repeat(np.arange(len(self.sets)), self.sizes)
+        gram = np.searchsorted(self.all, np.concatenate(self.sets)) if self.sets else which
+        self.member = which[np.argsort(gram, kind="stable")]
+        self.first = np.r_[0, np.cumsum(np.bincount(gram, minlength=len(self.all)))]
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, paragraphs: bool) -> np.ndarray:
@@ -70,10 +84,74 @@ def _segments(data: np.ndarray, offsets: np.ndarray, paragraphs: bool) -> np.nda
     return np.cumsum(cut)
 
 
-def _scan(t: Templates, data: np.ndarray, offsets: np.ndarray, threshold: float):
-    """Rows (document, template, Dice, byte start, byte end) of the matching segments."""
+def _best(gram: np.ndarray, hit: np.ndarray, size: int, longest: int, threshold: float) -> list[tuple[int, int, float]]:
+    """Windows (first bigram, last bigram, Dice) of one document that match a template of `size` bigrams, none overlapping; `hit` are the places of its bigrams."""
+    order = np.argsort(gram, kind="stable")
+    same = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    before = np.full(len(gram), -1)
+    before[order[same + 1]] = order[same]
+    of_template = np.zeros(len(gram), bool)
+    of_template[hit] = True
+    out, todo = [], [(0, len(gram))]
+    while todo:
+        lo, hi = todo.pop()
+        mine = hit[np.searchsorted(hit, lo) : np.searchsorted(hit, hi)]
+        many = np.searchsorted(mine, np.minimum(mine + longest, hi)) - np.arange(len(mine))
+        best, dropped, free = None, None, lo
+        # a window of so few of the template's bigrams cannot reach the threshold
+        for s in [*mine[2 * many >= threshold * (many + size)].tolist(), hi]:
+            if best and s > best[1] + 1:
+                out.append(best)
+                free = best[1] + 2
+                if dropped is not None:
+                    todo.append((dropped, best[0] - 1))
+                best, dropped = None, None
+            if s == hi or s < free or (best and best[2] == 1):
+                continue
+            new = before[s : min(s + longest, hi)] < s
+            dice = 2 * np.cumsum(new & of_template[s : s + len(new)]) / (np.cumsum(new) + size)
+            e = int(np.argmax(dice))
+            if dice[e] >= threshold and (best is None or dice[e] > best[2]):
+                dropped = best[0] if best and dropped is None else dropped
+                best = (s, s + e, float(dice[e]))
+        if best:
+            out.append(best)
+            if dropped is not None:
+                todo.append((dropped, best[0] - 1))
+    return out
+
+
+def _windows(t: Templates, gram: np.ndarray, known: np.ndarray, before: np.ndarray, threshold: float):
+    """Rows (document, template, Dice, first word, last word) of the matching windows; `before` are the words before each document."""
+    n_words = np.diff(before)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    at = np.flatnonzero(known[:-1] & (doc[1:] == doc[:-1]))
+    g = np.searchsorted(t.all, gram[at])
+    times = t.first[g + 1] - t.first[g]
+    row = np.repeat(np.arange(len(at)), times)
+    k = t.member[np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + t.first[g][row]]
+    # neither a document of so few bigrams nor one with so few of the template's can reach the threshold
+    least = threshold * t.sizes / (2 - threshold) - 1e-9
+    row, k = (x[n_words[doc[at[row]]] - 1 >= least[k]] for x in (row, k))
+    key = doc[at[row]] * len(t.sets) + k
+    pair, count = np.unique(np.unique(key * len(t.all) + g[row]) // len(t.all), return_counts=True)
+    pair = pair[count >= least[pair % len(t.sets)]]
+    stays = np.isin(key, pair)
+    key, place = key[stays], at[row[stays]]
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    for p in pair.tolist():
+        d, k = divmod(p, len(t.sets))
+        a, z = np.searchsorted(key, [p, p + 1])
+        longest = int(t.lengths[k] * (2 - threshold) / threshold + 1e-9)
+        for i, j, dice in _best(gram[before[d] : before[d + 1] - 1], place[a:z] - before[d], int(t.sizes[k]), longest, threshold):
+            yield d, k, dice, before[d] + i, before[d] + j + 1
+
+
+def _scan(t: Templates, data: np.ndarray, offsets: np.ndarray, threshold: float, windows: bool = False):
+    """Rows (document, template, Dice, byte start, byte end) of the matching segments, and of windows if these are asked for."""
     data = LOWER[data]
-    start, end, _ = words(data, offsets, ALNUM)
+    start, end, before = words(data, offsets, ALNUM)
     if not len(start) or not len(t.all):
         return []
     gram = _bigrams(data, start, end)
@@ -82,7 +160,11 @@ def _scan(t: Templates, data: np.ndarray, offsets: np.ndarray, threshold: float)
     for paragraphs in (False, True):
         seg = _segments(data, offsets, paragraphs)[start]
         inner = np.r_[seg[1:] == seg[:-1], False]
-        for s in np.unique(seg[known & inner]).tolist():
+        # at least t / (2 - t) of a matching segment's bigrams are known
+        which, ours = seg[inner], known[inner]
+        first = np.unique(mix(gram[inner] ^ mix(which.astype(U64))), return_index=True)[1]
+        n, hits = np.bincount(which[first]), np.bincount(which[first], ours[first])
+        for s in np.flatnonzero((hits > 0) & ((2 - threshold) * hits >= threshold * n - 1e-9)).tolist():
             a, z = np.searchsorted(seg, [s, s + 1])
             mine = np.unique(gram[a : z - 1])
             doc = int(np.searchsorted(offsets, start[a], "right")) - 1
@@ -93,11 +175,25 @@ def _scan(t: Templates, data: np.ndarray, offsets: np.ndarray, threshold: float)
                 dice = 2 * both / (len(mine) + int(t.sizes[k]))
                 if dice >= threshold:
                     found[(doc, k, int(start[a] - offsets[doc]), int(end[z - 1] - offsets[doc]))] = dice
+    if windows:
+        inside: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        for d, k, dice, a, z in _windows(t, gram, known, before, threshold):
+            inside.setdefault((d, k), []).append((int(start[a] - offsets[d]), int(end[z] - offsets[d]), dice))
+        for v in inside.values():
+            v.sort()
+
+        def apart(x):
+            v = inside.get(x[:2], [])
+            k = bisect_left(v, (x[3],))  # the windows before k begin before the segment's end
+            return not k or v[k - 1][1] <= x[2]
+
+        found = {x: dice for x, dice in found.items() if apart(x)}
+        found.update({(*x, a, z): dice for x, v in inside.items() for a, z, dice in v})
     return [(d, k, dice, a, z) for (d, k, a, z), dice in found.items()]
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_matches (segments and templates), licenses (ids, sorted, comma-joined), best_license, best_dice and matches (license, dice, byte range) of every row of docs."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, windows: bool = False) -> DataFrame:
+    """doc_id, n_matches (segments or windows, and templates), licenses (ids, sorted, comma-joined), best_license, best_dice and matches (license, dice, byte range) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(Templates(templates or TEMPLATES))
@@ -110,7 +206,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             data, offsets = text_column(b)
             for i, j in slices(offsets, SLICE_BYTES):
                 rows: list[list] = [[] for _ in range(j - i)]
-                for d, k, dice, a, z in _scan(t, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], threshold):
+                for d, k, dice, a, z in _scan(t, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], threshold, windows):
                     rows[d].append({"license": t.names[k], "dice": round(dice, 6), "start": a, "end": z})
                 for r in rows:
                     r.sort(key=lambda m: (m["start"], m["end"], m["license"]))

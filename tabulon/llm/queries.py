@@ -51,7 +51,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir), threshold=0.8).select("doc_id", "licenses", "best_license", "best_dice")
+    return licenses.scan(documents(spark, sf_dir), threshold=0.8, windows=True).select("doc_id", "licenses", "best_license", "best_dice")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

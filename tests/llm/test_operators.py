@@ -315,3 +315,47 @@ def test_licenses(spark, odd, none):
     assert got[2].licenses == ""  # 2 * 6 / (6 + 11) is below the threshold
     found = {r.doc_id: r.licenses for r in licenses.scan(odd).collect()}
     assert found[10] == "all-rights-reserved,apache-2.0" and licenses.scan(none).count() == 0
+
+
+def test_license_windows(spark, odd, none):
+    mpl = "This Source Code Form is subject to the\nterms of the Mozilla Public License, v. 2.0."
+    apache = licenses.TEMPLATES["apache-2.0-header"].replace("; ", ";\n#\n# ").replace(". ", ".\n#\n# ")
+    rows = [
+        (1, "This project is released under the MIT License.", "mit"),
+        (2, "Copyright 2020 The Foo Authors. Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        (3, "code();\r\n\r\n" + mpl.replace("\n", "\r\n") + "\r\n\r\nmore();", "mpl-2.0"),
+        (4, f"#!/bin/sh\n# {apache}\n#\necho of the License", "apache-2.0,apache-2.0-header"),
+        (5, "licensed rights and reserved works of the public domain under a version of the license", ""),
+        (6, "x Released under the MIT License, y. " * 3, "mit"),
+        (7, "w " * 5000 + "All rights reserved. " * 500, "all-rights-reserved"),
+        (8, "released under", ""),
+        (9, "the MIT License", ""),
+    ]
+    df = H.stored(spark, rows)
+    got = {r.doc_id: r for r in licenses.scan(df, windows=True).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {k: w for k, _, w in rows}
+    assert [rows[5][1].encode()[m.start : m.end] for m in got[6].matches] == [b"Released under the MIT License"] * 3
+    assert got[7].n_matches == 500 and {m.dice for m in got[7].matches} == {1.0} and got[1].best_dice == 1.0
+    assert licenses.scan(none, windows=True).count() == 0 and licenses.scan(odd, windows=True).count() == len(H.ODD)
+
+
+def test_license_windows_are_the_best():
+    """No window of any document has a higher Dice than the best that is found, and matches do not overlap."""
+    rng = random.Random(3)
+    for _ in range(150):
+        body = [rng.choice("abcdef") for _ in range(rng.randint(2, 8))]
+        w = [rng.choice("abcdefxy") for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(w))
+            w[at:at] = body
+        want, n = 0.0, {(x, y) for x, y in zip(body, body[1:], strict=False)}
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + int((len(body) - 1) * 1.5) + 1)):
+                mine = {(x, y) for x, y in zip(w[i:j], w[i + 1 : j + 1], strict=True)}
+                want = max(want, 2 * len(mine & n) / (len(mine) + len(n)))
+        data, offsets = _packed([" ".join(w), "a b"])
+        found = [m for m in licenses._scan(licenses.Templates({"t": " ".join(body)}), data, offsets, 0.8, windows=True) if m[0] == 0]
+        if want >= 0.8:
+            assert abs(max(m[2] for m in found) - want) < 1e-9, (body, w)
+            spans = sorted(m[3:] for m in found)
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))

@@ -18,6 +18,7 @@ give equal results; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 from bisect import bisect_left
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,10 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: The grant paragraph by itself, and whole texts as their publishers word them: windows find them, the SQL does not know them.
+WHOLE = {f.name.removesuffix(".txt") + "-text": f.read_text(encoding="utf-8") for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+WHOLE["mit-grant"] = WHOLE["mit-text"].split("\n\n")[0]
+
 
 def _bigrams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word with the next (of the last with nothing)."""
@@ -196,7 +201,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """doc_id, n_matches (segments or windows, and templates), licenses (ids, sorted, comma-joined), best_license, best_dice and matches (license, dice, byte range) of every row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(Templates(templates or TEMPLATES))
+    held = spark.sparkContext.broadcast(Templates(templates or {**TEMPLATES, **WHOLE}))
     columns = "doc_id long, n_matches long, licenses string, best_license string, best_dice double, matches array<struct<license: string, dice: double, start: long, end: long>>"
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -359,3 +360,19 @@ def test_license_windows_are_the_best():
             assert abs(max(m[2] for m in found) - want) < 1e-9, (body, w)
             spans = sorted(m[3:] for m in found)
             assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_whole_licenses(spark):
+    """LICENSE files of released packages, and whole texts in comments, CRLF and edited."""
+    real = sorted((Path(__file__).parent / "license_files").iterdir())
+    rows = [(f"{f.name}-text", f.read_text()) for f in real]
+    rows += [(k, "".join(f"// {x}\r\n" for x in licenses.WHOLE[k].split("\n"))) for k in ("gpl-3.0-text", "mpl-2.0-text", "lgpl-2.1-text")]
+    rows += [("gpl-2.0-text", "import x\n" * 500 + licenses.WHOLE["gpl-2.0-text"].replace("Program", "Library") + "def f(): pass\n" * 500)]
+    rows += [("mit-grant", "/* " + " ".join(licenses.WHOLE["mit-grant"].split()) + " */ x = 1")]
+    got = {r.doc_id: r for r in licenses.scan(H.stored(spark, [(i, t, "s") for i, (_, t) in enumerate(rows)]), windows=True).collect()}
+    assert len(real) == 4
+    for i, (name, _) in enumerate(rows):
+        assert name in got[i].licenses.split(","), name
+        assert got[i].best_license.startswith(name.rsplit("-", 1)[0]), name
+    plain = licenses.scan(H.stored(spark, [(1, licenses.WHOLE["mit-grant"], "s")])).first()
+    assert plain.licenses == "mit-grant" and plain.best_dice == 1.0

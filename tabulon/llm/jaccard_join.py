@@ -56,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> lis
     m = len(h)
     s = np.zeros(m, U64)
     for k in range(n):
-        s[: m - k] += h[k:] * _FACTORS[k % 5] ** U64(1 + k // 5)
+        s[: max(m - k, 0)] += h[k:] * _FACTORS[k % 5] ** U64(1 + k // 5)
     s = mix(s)
     out = []
     for a, z in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):

@@ -157,6 +157,16 @@ def _packed(texts):
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
+def test_slices_of_few_words(spark):
+    for n in range(6):
+        for texts in (["a b c d e f"[: 2 * n]], ["", *"abcdef"[:n], ""]):
+            got = jaccard_join.shingle_sets(*_packed(texts))
+            assert [len(s) for s in got] == [len(H.shingle_set(t)) for t in texts]
+    joined = jaccard_join.join(H.stored(spark, [(1, "a b", "s"), (2, "A  b", "s")], parts=1))
+    assert by_rows(joined, "doc_id", "n_shingles", "component_id") == [(1, 1, 1), (2, 1, 1)]
+    assert jaccard_join.keep_one(H.stored(spark, [(1, "a b", "s")], parts=1)).count() == 1
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.RandomState(2)
     for _ in range(200):

@@ -34,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all rows, written and read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    """Token ids of all rows in training order, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, as_written=True)
 
 
 STAGES = [

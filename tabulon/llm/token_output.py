@@ -9,7 +9,7 @@ document (or any range of ids in it) decodes without the others.
 
 Shards are rows of a Parquet table in the folder that all executors share.
 Null and empty texts give the end id alone.  Rows are ordered by doc_id (null
-first), then by a hash of the text; repeated rows are written each.  An empty
+first), then by a hash of the text, or as they stand in a written table; repeated rows are written each.  An empty
 table gives an empty result; other columns are not read.
 """
 
@@ -107,8 +107,11 @@ def decode(shard: dict, document: int, start: int = 0, stop: int | None = None)
     return expand(symbols[i:j], rules, base)[start - skipped : stop - skipped]
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int = SLICE_BYTES, rows_per_partition: int = 8_000) -> str:
-    """Encode docs (doc_id, text) and write the shard table; returns its path.  Starts count ids within a part."""
+def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int = SLICE_BYTES, rows_per_partition: int = 8_000, as_written: bool = False) -> str:
+    """Encode docs (doc_id, text) and write the shard table; returns its path.  Starts count ids within a part.
+
+    With ``as_written``, docs must be a Parquet table that Spark wrote, read alone: rows keep the order of its part files.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     out = scratch(spark, "token-shards")
@@ -135,9 +138,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int =
                 shard, start = shard + 1, start + len(ids)
 
     rows = docs.count()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_i"))
+    if as_written:
+        # scans deal files out by size; their names hold the number of the part that wrote them
+        keys = [F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long").alias("_part"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_i")]
+        order = ["_part", "_file", "_i"]
+    else:
+        keys = [F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_i")]
+        order = ["doc_id", "_h", "_i"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys)
     n = partitions(spark, rows, rows_per_partition)
-    ordered = keyed.repartitionByRange(n, "doc_id", "_h", "_i").sortWithinPartitions("doc_id", "_h", "_i").select("doc_id", "text")
+    ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(out)
     return out
 
@@ -168,6 +178,6 @@ def read_shards(spark, path: str) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+def token_output(docs: DataFrame, path: str, end_id: int = 1, as_written: bool = False) -> DataFrame:
     """Write all documents' ids and return the digest that the files give back."""
-    return read_shards(docs.sparkSession, write_shards(docs, path, end_id))
+    return read_shards(docs.sparkSession, write_shards(docs, path, end_id, as_written=as_written))

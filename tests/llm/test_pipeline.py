@@ -1,7 +1,11 @@
 """The stages one by one, and the SQL of the queries that have some."""
 
+import os
+
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabulon.llm import queries
@@ -37,3 +41,14 @@ def test_stages(spark, sf_dir, tmp_path):
         before = n
     ends = docs.selectExpr("start + n_tokens AS e", "start").collect()
     assert sorted(r.start for r in ends)[1:] == sorted(r.e for r in ends)[:-1]
+
+
+def test_token_stage_keeps_the_training_order(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = corpus_pipeline.source_mixing(spark, docs, sf_dir)
+    mixed.repartitionByRange(7, F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/mixed")
+    files = sorted(f"{tmp_path}/mixed/{f}" for f in os.listdir(f"{tmp_path}/mixed") if f.startswith("part-"))
+    want = [k for f in files for k in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
+    got = corpus_pipeline.token_ids(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir).collect()
+    assert len(files) == 7 and want != sorted(want)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == want

@@ -133,19 +133,21 @@ class Shards:
         self.name, self.file = "", None
 
 
-def _each(rows: DataFrame, columns: str, f) -> DataFrame:
+def _each(rows: DataFrame, columns: str, f, reads: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the columns that f makes of the shards, shard, offset, length and the columns it reads."""
     names = [x.split()[0] for x in columns.split(", ")]
+    schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes)
 
     def run(batches):
         shards = Shards()
         for b in batches:
-            got = [f(shards, *x) for x in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("shard", "offset", "length")), strict=True)]
+            got = [f(shards, *x) for x in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in ("shard", "offset", "length", *reads)), strict=True)]
             cols = list(zip(*got, strict=True)) or [()] * len(names)
             types = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in columns.split(", ")]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*b.schema.names, *names])
         shards.close()
 
-    return rows.mapInArrow(run, f"{ROWS}, {columns}")
+    return rows.mapInArrow(run, f"{schema}, {columns}")
 
 
 def metadata(rows: DataFrame) -> DataFrame:
@@ -161,12 +163,13 @@ def features(payload: bytes, width: int, height: int) -> str:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """rows with digests and features of the stored bytes."""
+    """rows of pack(), or of metadata(), with digests and features of the stored bytes."""
+    if "width" not in rows.columns:
+        rows = metadata(rows)
 
-    def one(s, shard, offset, length):
+    def one(s, shard, offset, length, width, height):
         media = s.read(shard, offset, length)
-        width, height, _ = header(media[:HEADER])
         payload = decode(media)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), width, height, features(payload, width, height)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, width, height)
 
-    return _each(rows, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width long, height long, feature string", one)
+    return _each(rows, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one, ("width", "height"))

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import components, decontam, jaccard_join, licenses, media, mixing, pii, quality, suffix_dedup, token_counts, token_output
+from tabulon.llm import components, decontam, jaccard_join, licenses, media, mixing, pii, quality, queries, suffix_dedup, token_counts, token_output
 
 from . import helpers as H
 
@@ -103,6 +103,16 @@ def test_media_round_trip(spark, odd, none):
         assert (m.offset_data, m.size) == (r.offset, r.length) and hashlib.sha256(media.decode(t.extractfile(m).read())).hexdigest() == r.digest
 
 
+def test_media_columns_come_from_headers(spark, odd, monkeypatch):
+    """The query's size columns are those of the header-only reads: no other code may parse a header in it."""
+    filled = []
+    whole = media.metadata
+    monkeypatch.setattr(media, "metadata", lambda rows: filled.append(1) or whole(rows).withColumn("width", F.lit(7).cast("long")))
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: odd)
+    got = queries.op3_media_columns(spark, "").collect()
+    assert filled == [1] and len(got) == len(H.ODD) and all(r.feature.startswith("7x") for r in got)
+
+
 def near_rows(rng, groups, size, words, edits, common):
     rows, k = [], 0
     for _ in range(groups):

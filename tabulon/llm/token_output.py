@@ -1,8 +1,8 @@
 """Token-id output with Re-Pair grammar compression.
 
 Documents are range-partitioned and sorted by doc_id, encoded, and cut into
-shards of whole documents.  In each shard, rounds of Re-Pair replace every
-frequent pair of neighbouring ids by a nonterminal; a pair never spans two
+shards of whole documents.  In each shard, rounds of Re-Pair replace pairs of
+neighbouring ids by nonterminals until no pair occurs twice; a pair never spans two
 documents.  A shard stores its rules, the expansion length of every nonterminal, the
 remaining symbols and where each document starts among them, so that any
 document (or any range of ids in it) decodes without the others.
@@ -15,6 +15,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -30,23 +31,28 @@ from .tokens import ids_bytes, worker_encoder
 SHARD = "part int, shard int, start long, n_ids long, base long, doc_ids binary, doc_nulls binary, symbols_before binary, rules binary, lengths binary, symbols binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = 4, most: int = 4096, least: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (pairs of symbols) and the kept `last` marks.  A round replaces up to `most` pairs that occur `least` times or more; `last` marks ids that no pair may start with."""
+def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, most: int = 4096, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs of symbols) and the kept `last` marks.  A round replaces up to `most` pairs that occur `least` times or more, and rounds go on until there are none, or to the given number; `last` marks ids that no pair may start with."""
     rules = np.zeros((0, 2), np.uint32)
     bits = 20
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(ids) < 2:
             break
         # pairs are counted by hash first; only those of the fullest bins are sorted
         bin_ = ((ids[:-1] * np.uint32(0x9E3779B1) + ids[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
         counts = np.bincount(bin_[~last[:-1]], minlength=1 << bits)
         floor = max(least, int(np.partition(counts, -most)[-most]))
-        often = np.flatnonzero((counts >= floor)[bin_] & ~last[:-1])
-        pair = (ids[often].astype(np.uint64) << np.uint64(32)) | ids[often + 1]
-        found, count = np.unique(pair, return_counts=True)
+        take = most
+        while True:
+            often = np.flatnonzero((counts >= floor)[bin_] & ~last[:-1])
+            pair = (ids[often].astype(np.uint64) << np.uint64(32)) | ids[often + 1]
+            found, count = np.unique(pair, return_counts=True)
+            if floor == least or (len(found) and count.max() >= least):
+                break
+            floor, take = least, len(ids)  # the fullest bins only held different pairs: all that are left are rare, and are taken at once
         if not len(found) or count.max() < least:
             break
-        keep = np.argsort(-count, kind="stable")[:most]
+        keep = np.argsort(-count, kind="stable")[:take]
         found = np.sort(found[keep[count[keep] >= least]])
         at = np.minimum(np.searchsorted(found, pair), len(found) - 1)
         hit = found[at] == pair
@@ -78,19 +84,24 @@ def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    while len(symbols):
-        non = symbols >= base
-        if not non.any():
-            break
-        size = 1 + non.astype(np.int64)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[at] = symbols
-        r = rules[symbols[non].astype(np.int64) - base]
-        out[at[non]], out[at[non] + 1] = r[:, 0], r[:, 1]
-        symbols = out
-    return symbols
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for.  Every nonterminal knows its place in the result, so each is handled once."""
+    length = (lengths_of(rules, base) if lengths is None else lengths).astype(np.int64)
+    size = np.ones(len(symbols), np.int64)
+    non = symbols >= base
+    size[non] = length[symbols[non].astype(np.int64) - base]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    out[at[~non]] = symbols[~non]
+    rest, at = symbols[non].astype(np.int64) - base, at[non]
+    while len(rest):
+        left, right = rules[rest, 0].astype(np.int64), rules[rest, 1].astype(np.int64)
+        after = at + np.where(left < base, 1, length[np.maximum(left - base, 0)])
+        both, places = np.concatenate([left, right]), np.concatenate([at, after])
+        non = both >= base
+        out[places[~non]] = both[~non]
+        rest, at = both[non] - base, places[non]
+    return out
 
 
 def decode(shard: dict, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -104,7 +115,7 @@ def decode(shard: dict, document: int, start: int = 0, stop: int | None = None)
     stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
     i, j = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     skipped = int(ends[i - 1]) if i else 0
-    return expand(symbols[i:j], rules, base)[start - skipped : stop - skipped]
+    return expand(symbols[i:j], rules, base, length)[start - skipped : stop - skipped]
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int = SLICE_BYTES, rows_per_partition: int = 8_000, as_written: bool = False) -> str:
@@ -170,7 +181,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 non = symbols >= base
                 size[non] = length[symbols[non].astype(np.int64) - base]
                 at = np.r_[0, np.cumsum(size)][np.frombuffer(s["symbols_before"], "<i8")]
-                ids = expand(symbols, np.frombuffer(s["rules"], "<u4").reshape(-1, 2), base)
+                ids = expand(symbols, np.frombuffer(s["rules"], "<u4").reshape(-1, 2), base, length)
                 raw, o = ids.astype("<u4").tobytes(), (at * 4).tolist()
                 crc = [zlib.crc32(raw[x:y]) for x, y in zip(o[:-1], o[1:], strict=True)]
                 yield pa.record_batch([key, pa.array(at[:-1] + before[s["part"]] + s["start"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

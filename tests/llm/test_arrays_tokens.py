@@ -81,6 +81,21 @@ def test_repair_round_trip_and_random_access():
         assert (R.decode(shard, d, a, z) == ids[o[d] : o[d + 1]][a:z]).all() and (R.decode(shard, d) == ids[o[d] : o[d + 1]]).all()
 
 
+def test_repair_goes_on_until_no_pair_is_left():
+    """With production values: a long passage that occurs in a few documents becomes a few symbols."""
+    rng = np.random.RandomState(1)
+    passage = rng.randint(0, 40_000, 3_000).astype(np.uint32)
+    docs = [np.r_[rng.randint(0, 40_000, 50).astype(np.uint32), passage, rng.randint(0, 40_000, 50).astype(np.uint32)] for _ in range(3)]
+    docs += [np.full(1_000, 7, np.uint32), np.array([1], np.uint32)]
+    ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+    last = np.zeros(len(ids), bool)
+    last[ends - 1] = True
+    symbols, rules, last = R.repair(ids, last, 1 << 20)
+    pairs = ((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:])[~last[:-1]]
+    assert np.unique(pairs, return_counts=True)[1].max() == 1
+    assert R.lengths_of(rules, 1 << 20).max() > 16 and (R.expand(symbols, rules, 1 << 20) == ids).all() and len(symbols) < 600
+
+
 class Held:
     def __init__(self, value):
         self.value = value

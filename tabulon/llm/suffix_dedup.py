@@ -179,22 +179,22 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("uid", "text").where(F.octet_length("text") >= length).mapInArrow(run, ANCHORS)
 
 
-_TEXTS = "uid long, lo long, hi long, gram long, context long, shard long, split boolean, n long, body binary"
+_TEXTS = "uid long, lo long, hi long, gram long, context long, shard long, ranges long, n long, body binary"
 
 
 def _context_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The texts of the wanted contexts (uid, lo, hi, ...), cut from the documents."""
-    per_doc = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "gram", "context", "shard", "split", "n")).alias("c"))
+    per_doc = wanted.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "gram", "context", "shard", "ranges", "n")).alias("c"))
     joined = docs.select("uid", "text").join(per_doc.hint("shuffle_hash"), "uid")
 
     def run(batches):
         for b in batches:
             data, offsets = text_column(b)
             raw, uid = data.tobytes(), b.column(0).to_pylist()
-            rows = [(u, c["lo"], c["hi"], c["gram"], c["context"], c["shard"], c["split"], c["n"], raw[a + c["lo"] : a + c["hi"] + length]) for u, a, cs in zip(uid, offsets.tolist(), b.column(2).to_pylist(), strict=False) for c in cs]
+            rows = [(u, c["lo"], c["hi"], c["gram"], c["context"], c["shard"], c["ranges"], c["n"], raw[a + c["lo"] : a + c["hi"] + length]) for u, a, cs in zip(uid, offsets.tolist(), b.column(2).to_pylist(), strict=False) for c in cs]
             for k in range(0, len(rows), 4000):
                 cols = list(zip(*rows[k : k + 4000], strict=True))
-                types = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.binary()]
+                types = [pa.int64()] * 8 + [pa.binary()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _TEXTS.split(", ")])
 
     return joined.mapInArrow(run, _TEXTS)
@@ -203,7 +203,7 @@ def _context_texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
 FOUND = "kind int, uid long, lo long, hi long, range long, gram long, run long, keys binary, uids binary, places binary"
 
 
-def _shard_rows(texts: DataFrame, length: int, n_parts: int, shard_bytes: int, ranges: int) -> DataFrame:
+def _shard_rows(texts: DataFrame, length: int, n_parts: int, shard_bytes: int) -> DataFrame:
     """Kind 0: repeated starts [lo, hi] of uid, found within a shard.  Kind 1: sorted string keys of a split gram's shard, by key range."""
 
     def solve(rows):
@@ -220,15 +220,15 @@ def _shard_rows(texts: DataFrame, length: int, n_parts: int, shard_bytes: int, r
             first = np.flatnonzero(new)
             last = np.r_[first[1:] - 1, len(hit) - 1]
             out += [(0, int(u[a]), int(p[a]), int(p[z]), None, None, None, None, None, None) for a, z in zip(first, last, strict=True)]
-        split = np.array([r["split"] for r in rows])[c.context]
-        rest = np.flatnonzero(split)
+        ranges = np.array([r["ranges"] for r in rows])[c.context]
+        rest = np.flatnonzero(ranges)
         if len(rest):
             h = range_hash(prefix_hash(c.data), c.own[rest], c.own[rest] + length)
             gram = np.array([r["gram"] for r in rows])[c.context][rest]
-            part = (h >> U64(40)).astype(np.int64) % ranges
+            part = (h >> U64(40)).astype(np.int64) % ranges[rest]
             open_ = ~(c.repeats | whole)[rest]
             for g in np.unique(gram).tolist():
-                for q in range(ranges):
+                for q in np.unique(part[gram == g]).tolist():
                     k = np.flatnonzero((gram == g) & (part == q))
                     if len(k):
                         k = k[np.argsort(h[k], kind="stable")]
@@ -302,9 +302,10 @@ def repeated_starts(docs: DataFrame, length: int = 400, shard_bytes: int = 3 <<
     whole = rows.join(known.where("n > 1").select("gram", "context"), ["gram", "context"]).select("uid", "lo", "hi")
     shards = F.ceil(F.col("kinds") / shard_contexts)
     shard = F.when(shards > 1, F.pmod(F.col("context"), shards)).otherwise(F.lit(0)).cast("long")
-    wanted = known.where("kinds > 1").select("one.*", "gram", "context", shard.alias("shard"), (shards > 1).alias("split"), "n")
+    ranges = F.when(shards > 1, F.greatest(shards, F.lit(16))).otherwise(0)  # of a split gram's string keys: about a shard's contexts each
+    wanted = known.where("kinds > 1").select("one.*", "gram", "context", shard.alias("shard"), ranges.cast("long").alias("ranges"), "n")
     n_parts = partitions(spark, known.where("kinds > 1").count(), 20_000)
-    found = table(_shard_rows(_context_texts(docs, wanted, length), length, n_parts, shard_bytes, 16), "repeats")
+    found = table(_shard_rows(_context_texts(docs, wanted, length), length, n_parts, shard_bytes), "repeats")
     inner = found.where("kind = 0").select("uid", "lo", "hi")
     return whole.unionByName(inner).unionByName(_merged(found, n_parts))
 

@@ -215,6 +215,21 @@ def test_suffix_dedup(spark, odd, contexts):
         assert by_rows(suffix_dedup.dedup(odd), "doc_id", "n_removed", "kept_sha256") == sorted(((k, w[1], w[3]) for (k, _, _), w in zip(H.ODD, want, strict=True)), key=repr)
 
 
+def test_key_ranges_grow_with_the_contexts_of_a_gram(spark):
+    """A gram of 64 kinds of contexts in 32 shards: its keys are merged in more than 16 ranges, with the right result."""
+    rng = random.Random(2)
+    common = "".join(rng.choice("abcdefgh") for _ in range(50))
+    texts = ["".join(rng.choice("uvwxyz") for _ in range(60)) + common + "".join(rng.choice("uvwxyz") for _ in range(60)) for _ in range(64)]
+    df = H.stored(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    seen = []
+    merged = suffix_dedup._merged
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_dedup, "_merged", lambda found, n: seen.append(found) or merged(found, n))
+        got = by_rows(suffix_dedup.dedup(df, length=40, shard_contexts=2), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((i, *w) for i, w in enumerate(H.repeats(texts, 40))), key=repr)
+    assert seen[0].where("kind = 1").agg(F.max("range")).first()[0] >= 16
+
+
 def test_token_counts(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -1,33 +1,63 @@
 """Vectorised primitives on UTF-8 buffers shared by the corpus operators.
 
 Every function works on one bounded slice of documents: a ``uint8`` buffer plus
-``int64`` document offsets.  Hashes are polynomial, modulo 2**64, taken from
-prefix sums, so a whole slice costs a few numpy passes and no Python loop.
+``int64`` document offsets.  Hashes are polynomial in two bases, modulo the prime
+2**31 - 1 (modulo a power of two, Thue-Morse words collide), taken from prefix sums, so
+a whole slice costs a few numpy passes and no Python loop.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-_BYTE = np.random.RandomState(20240607).randint(0, 2**63 - 1, 256, dtype=np.int64).astype(U64) | U64(1)
+_M = U64((1 << 31) - 1)
+_BASES = (0x2545F491, 0x4F6CDD1D)
+#: Elements that are hashed at once, so that they stay in the processor's cache.
+_BLOCK = 1 << 15
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_BYTE = np.random.RandomState(20240607).randint(1, 2**31 - 1, 256, dtype=np.int64).astype(U64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse, kept by the worker."""
-    if len(_powers[0]) <= n:
+def release() -> None:
+    """Give memory that a finished slice held back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, but for a last subtraction."""
+    high = x >> U64(31)
+    x = x & _M
+    x += high
+    return x
+
+
+def _table(base: int, size: int) -> np.ndarray:
+    """Powers 0 .. size - 1 of a base, by doubling."""
+    out = np.ones(size, np.uint32)
+    n = 1
+    while n < size:
+        m = min(n, size - n)
+        x = _fold(_fold(out[:m].astype(U64) * U64(pow(base, n, int(_M)))))
+        out[n : n + m] = np.where(x >= _M, x - _M, x)
+        n += m
+    return out
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0..n of each hash base and of its inverse, kept by the worker."""
+    if not _powers or len(_powers[0][0]) <= n:
         size = max(1 << 16, n + n // 8 + 1)
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers[0], _powers[1]
+        _powers[:] = [(_table(b, size), _table(pow(b, -1, int(_M)), size)) for b in _BASES]
+    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,18 +71,52 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """C with C[e]-C[s] proportional to the hash of data[s:e]."""
-    p, _ = powers(len(data))
-    out = np.empty(len(data) + 1, U64)
-    out[0] = 0
-    np.cumsum(_BYTE[data] * p[: len(data)], out=out[1:])
+    """For each base a row C with C[e]-C[s] proportional to the hash of data[s:e]."""
+    out = np.zeros((2, len(data) + 1), U64)
+    tables = powers(len(data))
+    for a in range(0, len(data), _BLOCK):
+        code = _BYTE[data[a : a + _BLOCK]]
+        z = a + len(code)
+        for row, (p, _) in zip(out, tables, strict=True):
+            part = row[a + 1 : z + 1]
+            np.cumsum(_fold(code * p[a:z]), out=part)
+            part += row[a]
     return out
 
 
+def _joined(difference: list[np.ndarray], q: list[np.ndarray], size) -> np.ndarray:
+    """One mixed hash of both bases' differences, brought to a common power by q, and the size."""
+    h = None
+    for d, power in zip(difference, q, strict=True):
+        d = _fold(_fold(_fold(_fold(d)) * power))
+        np.subtract(d, _M, out=d, where=d >= _M)
+        h = d if h is None else h | (d << U64(31))
+    return mix(h + size)
+
+
+_SIZE = 0x632BE59BD9B4E019
+
+
 def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the byte ranges [start, end) under prefix_hash c."""
-    _, q = powers(len(c))
-    return mix((c[end] - c[start]) * q[start] + (end - start).astype(U64) * U64(0x632BE59BD9B4E019))
+    tables = powers(c.shape[1])
+    out = np.empty(len(start), U64)
+    for a in range(0, len(start), _BLOCK):
+        s, e = start[a : a + _BLOCK], end[a : a + _BLOCK]
+        out[a : a + _BLOCK] = _joined([row[e] - row[s] for row in c], [q[s] for _, q in tables], (e - s).astype(U64) * U64(_SIZE))
+    return out
+
+
+def window_hash(c: np.ndarray, w: int) -> np.ndarray:
+    """Mixed hashes of all windows of w bytes under prefix_hash c, as range_hash has them."""
+    n = c.shape[1] - w
+    tables = powers(c.shape[1])
+    out = np.empty(n, U64)
+    size = U64(w * _SIZE & (2**64 - 1))
+    for a in range(0, n, _BLOCK):
+        z = min(n, a + _BLOCK)
+        out[a:z] = _joined([row[a + w : z + w] - row[a:z] for row in c], [q[a:z] for _, q in tables], size)
+    return out
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
@@ -13,9 +17,11 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, with its scheme: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share, with its scheme: spark.checkpoint.dir, or where that is unset on a local master (tests) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(f"file://{tempfile.mkdtemp(prefix='tabulon-')}")
         found = _own_dir[0]
@@ -48,3 +54,45 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def partitions(spark: SparkSession, rows: int, per: int) -> int:
     """A partition count that grows with the data: at least the session's, and so many that each gets about `per` rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
+
+
+#: Bits of a row's number within its file, in a row's identity.
+_ROW_BITS = 26
+
+
+def _one_scan(docs: DataFrame) -> bool:
+    """Whether docs are the rows of Parquet files, each read once, perhaps filtered and with other columns."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    return "Parquet" in plan.relation().fileFormat().toString() and roots.size() == roots.distinct().size()
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs, written to the shared folder and read back unless it is a scan of Parquet files already."""
+    return docs if _one_scan(docs) else table(docs, "rows")
+
+
+def numbered(docs: DataFrame, *columns: Column | str, name: str = "uid") -> DataFrame:
+    """The columns of docs (see scanned()) and an identity of every row, which no way of dealing the files to tasks
+    changes: a hash of the file's path (such that no two files share one) and the row's number in it."""
+    meta = docs.metadataColumn("_metadata")
+    files = [re.sub(r"^(\w+):///", r"\1:/", f) for f in docs.inputFiles()]  # as the metadata column writes them
+    for salt in map(str, itertools.count()):
+        if len({xxhash.xxh64_intdigest((f + salt).encode(), 42) >> (_ROW_BITS + 1) for f in files}) == len(files):
+            break
+    file = F.shiftrightunsigned(F.xxhash64(F.concat(meta["file_path"], F.lit(salt))), _ROW_BITS + 1)
+    row = meta["row_index"]
+    checked = F.when(row < 1 << _ROW_BITS, row).otherwise(F.raise_error("a file has too many rows").cast("long"))
+    return docs.select(*columns, F.shiftleft(file, _ROW_BITS).bitwiseOR(checked).alias(name))
+
+
+def lacking(df: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

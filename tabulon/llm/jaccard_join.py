@@ -19,12 +19,17 @@ whenever the larger set fills more segments than the pair may differ in.
 * Of each group that shares a key, all are first compared with one member of like size.  Links
   so found join components; then only pairs of different components are left to compare, and of
   those each has one member outside the group's largest component.
-* A pair is compared by wide sketches first (a lower bound of |A^B|), then by its sets.
+* Hot groups that are still of several components, and share members, are joined to one cluster,
+  so that a node takes part once and not once a key.  A cluster is compared in blocks, by sketches and
+  then sets; a pair that a block has already joined is passed over, so a block makes at most
+  one row for each of its nodes.
+* Other pairs are compared by sketches first (a lower bound of |A^B|), then by their sets, where the
+  documents are read.
 
 Sets are of 64-bit hashes and nodes 64-bit hashes of sets.  Null and empty texts have empty sets and
 link with nothing; a text with fewer words than a shingle is one shingle; repeated rows are linked
 with each other; rows with a null id are linked under each other's ids; an empty table gives an empty
-result; other columns are not read.
+result; other columns are not read.  Rows are told apart by their file and place in it.
 """
 
 from __future__ import annotations
@@ -36,14 +41,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, slices, text_column, words
-from .common import partitions, scratch, small_batches, table
+from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, release, slices, text_column, words
+from .common import lacking, numbered, partitions, scanned, scratch, small_batches, table
 from .components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 PERCENT, SHINGLE, SMALL, HOT = 75, 5, 64, 24
 #: Bytes of text that a worker handles at once: hashes take many times that.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows whose side tables lie in one folder: those of one file whose numbers share the upper bits.
+_PART_BITS = 14
 #: Segments of a band are 2^k / LOAD: a set fills them 1.25 to 2.5 times over in its own band.
 LOAD = 1.25
 
@@ -97,8 +104,11 @@ def bands_of(n: int) -> list[int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A parity sketch of 4 to 8 bits for each member; sketches of different widths compare after folding."""
-    width = 4 << max(4, len(s).bit_length())
+    """A parity sketch of 1 to 2 bits for each member, 64 at least; sketches of different widths compare after folding."""
+    return _parity(s, max(64, 1 << len(s).bit_length()))
+
+
+def _parity(s: np.ndarray, width: int) -> bytes:
     bits = np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -131,57 +141,60 @@ def _sets(docs: DataFrame) -> DataFrame:
                 filled = [len(segments(s, bands_of(len(s))[0])) if len(s) else 0 for s in sets]
                 cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(filled, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())]
                 yield pa.record_batch(cols, [x.split()[0] for x in SETS.split(", ")])
+            release()
 
     return docs.select("doc_id", "uid", "text").mapInArrow(run, SETS)
 
 
-def _segments(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed segments: of each slice and bucket the keys (6 bytes), the local number of the set, and the sets' nodes, sizes and bands."""
+def _segments(docs: DataFrame, nodes: str, buckets: int) -> DataFrame:
+    """Packed segments of one document for each node (the side table `nodes`): of each slice and bucket the keys (5 bytes), the local number of the set, and the sets' nodes, sizes and bands."""
     columns = "bucket int, keys binary, which binary, nodes binary, sizes binary, own binary"
 
     def run(batches):
+        side = _Side(nodes)
         for b in batches:
-            data, offsets = text_column(b)
-            for i, j in slices(offsets, SLICE_BYTES):
-                key, which, own, nodes, sizes, seen = [], [], [], [], [], set()
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    node = node_of(s)
-                    if not len(s) or node in seen:
-                        continue
-                    seen.add(node)
-                    for band in bands_of(len(s)):
-                        k = segments(s, band)
-                        key.append(k)
-                        which.append(np.full(len(k), len(nodes), np.uint32))
-                        own.append(np.full(len(k), band == len(s).bit_length() - 1))
-                    nodes.append(node)
-                    sizes.append(len(s))
-                if not nodes:
-                    continue
-                key, which, own = np.concatenate(key), np.concatenate(which), np.concatenate(own)
-                to = (key % U64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edge = np.searchsorted(to[order], np.arange(buckets + 1))
-                node, size, out = np.array(nodes, "<i8"), np.array(sizes, "<i8"), []
-                for q in range(buckets):
-                    k = order[edge[q] : edge[q + 1]]
-                    if len(k):
-                        used, local = np.unique(which[k], return_inverse=True)
-                        six = (key[k] // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                        out.append((q, six.tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), node[used].tobytes(), size[used].tobytes(), np.packbits(own[k]).tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["bucket", "keys", "which", "nodes", "sizes", "own"])
-
-    return docs.select("text").mapInArrow(run, columns)
+            for part in side.parts(b):
+                rows = part.rows("uid")
+                b_ = part.batch.filter(pa.array([u in rows for u in part.uid], pa.bool_()))
+                if b_.num_rows:
+                    yield from solve(b_)
+            release()
+
+    def solve(b):
+        data, offsets = text_column(b)
+        for i, j in slices(offsets, SLICE_BYTES):
+            key, which, own, nodes, sizes = [], [], [], [], []
+            for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for band in bands_of(len(s)):
+                    k = segments(s, band)
+                    key.append(k)
+                    which.append(np.full(len(k), len(nodes), np.uint32))
+                    own.append(np.full(len(k), band == len(s).bit_length() - 1))
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+            key, which, own = np.concatenate(key), np.concatenate(which), np.concatenate(own)
+            to = (key % U64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edge = np.searchsorted(to[order], np.arange(buckets + 1))
+            node, size, out = np.array(nodes, "<i8"), np.array(sizes, "<u4"), []
+            for q in np.flatnonzero(np.diff(edge)).tolist():
+                k = order[edge[q] : edge[q + 1]]
+                used, local = np.unique(which[k], return_inverse=True)
+                five = (key[k] // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((q, five.tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), node[used].tobytes(), size[used].tobytes(), np.packbits(own[k]).tobytes()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["bucket", "keys", "which", "nodes", "sizes", "own"])
+
+    return docs.select("uid", "text").mapInArrow(run, columns)
 
 
 def _unpack(r: dict) -> tuple[np.ndarray, ...]:
-    six = np.frombuffer(r["keys"], np.uint8).reshape(-1, 6)
-    key = np.zeros((len(six), 8), np.uint8)
-    key[:, :6] = six
+    five = np.frombuffer(r["keys"], np.uint8).reshape(-1, 5)
+    key = np.zeros((len(five), 8), np.uint8)
+    key[:, :5] = five
     nodes = np.frombuffer(r["nodes"], "<i8")
     kind = "<u2" if len(nodes) < 65536 else "<u4"
     which = np.frombuffer(r["which"], kind).astype(np.int64)
-    return key.view("<u8").ravel(), nodes[which], np.frombuffer(r["sizes"], "<i8")[which], np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(six)].astype(bool)
+    return key.view("<u8").ravel(), nodes[which], np.frombuffer(r["sizes"], "<u4").astype(np.int64)[which], np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(five)].astype(bool)
 
 
 GROUPS = "kind int, g long, a long, b long, n long, own boolean"
@@ -268,81 +281,120 @@ def _groups(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
                 if rows and r["bucket"] != at:
                     yield from solve(rows)
                     rows = []
+                    release()
                 at = r["bucket"]
                 rows.append(r)
         if rows:
             yield from solve(rows)
+        release()
 
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
 
 
-def _by_partition(df: DataFrame, uid: str, name: str) -> str:
-    """Write df in one folder for each partition of the documents' scan, which is what the upper bits of a uid number."""
+def _by_part(df: DataFrame, name: str) -> str:
+    """Write df (uid, ...) in one folder for each part of the documents, where the task that reads a part finds it."""
     path = scratch(df.sparkSession, name)
-    df.withColumn("part", F.shiftright(uid, 33)).repartition("part").write.partitionBy("part").option("compression", "none").parquet(path)
+    df.withColumn("part", F.shiftright("uid", _PART_BITS)).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
     return path
 
 
-def _of_partition(path: str, part: int) -> pa.Table | None:
-    store, base = fs.FileSystem.from_uri(f"{path}/part={part}")
-    if store.get_file_info(base).type == fs.FileType.NotFound:
-        return None
-    files = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in sorted(files)])
+class _Part:
+    """Rows of a batch that lie in one part, and what its side tables hold."""
+
+    def __init__(self, number: int, batch: pa.RecordBatch, paths: tuple[str, ...]):
+        self.number, self.batch, self.tables = number, batch, [self._read(f"{p}/part={number}") for p in paths]
+        self._by_uid: dict[int, list[int]] | None = None
+
+    @staticmethod
+    def _read(path: str) -> pa.Table | None:
+        store, base = fs.FileSystem.from_uri(path)
+        if store.get_file_info(base).type == fs.FileType.NotFound:
+            return None
+        files = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        return pa.concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in sorted(files)])
+
+    @property
+    def uid(self) -> list[int]:
+        return self.batch.column(0).to_pylist()
+
+    def rows(self, column: str, k: int = 0) -> dict[int, list[int]]:
+        """Row numbers of a side table by a column's value."""
+        if self._by_uid is None:
+            self._by_uid = {}
+            for r, u in enumerate(self.tables[k].column(column).to_pylist() if self.tables[k] is not None else ()):
+                self._by_uid.setdefault(u, []).append(r)
+        return self._by_uid
+
+
+class _Side:
+    """Side tables of the documents, read part by part as a scan goes on; the last part stays."""
+
+    def __init__(self, *paths: str):
+        self.paths, self.last = paths, None
+
+    def parts(self, batch: pa.RecordBatch):
+        """The batch (uid first) by parts."""
+        number = np.asarray(batch.column(0)) >> _PART_BITS
+        edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, int)
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if self.last is None or self.last.number != number[a]:
+                self.last = None
+                self.last = _Part(int(number[a]), batch, self.paths)
+            self.last.batch = batch.slice(a, z - a)
+            yield self.last
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """node, members: the sets of the wanted (uid, node), computed where the documents are read; no text is moved."""
-    path = _by_partition(wanted, "uid", f"{name}-wanted")
+    path = _by_part(wanted.select("uid", "node"), f"{name}-wanted")
 
     def run(batches):
-        nodes = None
+        side = _Side(path)
         for b in batches:
-            if not b.num_rows:
-                continue
-            if nodes is None:
-                t = _of_partition(path, b.column(0)[0].as_py() >> 33)
-                nodes = {} if t is None else dict(zip(t.column("uid").to_pylist(), t.column("node").to_pylist(), strict=True))
-            uid = b.column(0).to_pylist()
-            pick = [k for k, u in enumerate(uid) if u in nodes]
-            if pick:
-                b = b.take(pa.array(pick))
-                data, offsets = text_column(b)
+            for part in side.parts(b):
+                rows = part.rows("uid")
+                node = [part.tables[0].column("node")[rows[u][0]].as_py() if u in rows else None for u in part.uid]
+                pick = [k for k, x in enumerate(node) if x is not None]
+                if not pick:
+                    continue
+                data, offsets = text_column(part.batch.take(pa.array(pick)))
                 for i, j in slices(offsets, SLICE_BYTES):
                     found = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    yield pa.record_batch([pa.array([nodes[uid[k]] for k in pick[i:j]], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
+                    yield pa.record_batch([pa.array([node[k] for k in pick[i:j]], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
+            release()
 
     return docs.select("uid", "text").mapInArrow(run, "node long, members binary")
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b, uid of b, members of a) that link; b's set is computed where its document is read."""
-    path = _by_partition(pairs, "uid", f"{name}-pairs")
+def _checked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b, uid of b) that link, with the sets (node, members) of all a; b's set is computed where its document is read, and a's goes once to each part that asks for it."""
+    pairs = table(pairs, f"{name}-asked")
+    path = _by_part(pairs, f"{name}-pairs")
+    asked = pairs.select(F.shiftleft(F.shiftright("uid", _PART_BITS), _PART_BITS).alias("uid"), F.col("a").alias("node")).distinct()
+    side_sets = _by_part(asked.join(sets, "node"), f"{name}-with")
 
     def run(batches):
-        asked: dict[int, list[int]] | None = None
+        side = _Side(path, side_sets)
         for b in batches:
-            if not b.num_rows:
-                continue
-            if asked is None:
-                t = _of_partition(path, b.column(0)[0].as_py() >> 33)
-                asked = {}
-                for k, u in enumerate(t.column("uid").to_pylist() if t is not None else ()):
-                    asked.setdefault(u, []).append(k)
-            uid = b.column(0).to_pylist()
-            pick = [k for k, u in enumerate(uid) if u in asked]
-            if not pick:
-                continue
-            b = b.take(pa.array(pick))
-            data, offsets = text_column(b)
-            out = []
-            for i, j in slices(offsets, SLICE_BYTES):
-                for k, s in zip(pick[i:j], shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
-                    for r in asked[uid[k]]:
-                        if links(np.frombuffer(t.column("members")[r].as_py(), U64), s):
-                            out.append((t.column("a")[r].as_py(), t.column("b")[r].as_py()))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            for part in side.parts(b):
+                rows = part.rows("uid")
+                pick = [k for k, u in enumerate(part.uid) if u in rows]
+                if not pick:
+                    continue
+                t, with_ = part.tables
+                place = {n: k for k, n in enumerate(with_.column("node").to_pylist())}
+                members, uid = with_.column("members"), part.uid
+                data, offsets = text_column(part.batch.take(pa.array(pick)))
+                out = []
+                for i, j in slices(offsets, SLICE_BYTES):
+                    for k, s in zip(pick[i:j], shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
+                        for r in rows[uid[k]]:
+                            a = t.column("a")[r].as_py()
+                            if links(np.frombuffer(members[place[a]].as_buffer(), U64), s):
+                                out.append((a, t.column("b")[r].as_py()))
+                if out:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            release()
 
     return docs.select("uid", "text").mapInArrow(run, "a long, b long")
 
@@ -362,8 +414,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) ->
     where = nodes.select("node", "uid")
     wanted = left.select(F.col("a").alias("node")).distinct().join(where, "node").select("uid", "node")
     sets = table(_sets_of(docs, wanted, name), f"{name}-sets", "none")
-    asked = left.join(where.select(F.col("node").alias("b"), "uid"), "b").join(sets.select(F.col("node").alias("a"), "members"), "a")
-    return table(_checked(docs, asked.select("a", "b", "uid", "members"), name), f"{name}-links")
+    asked = left.join(where.select(F.col("node").alias("b"), "uid"), "b").select("uid", "a", "b")
+    return table(_checked(docs, asked, sets, name), f"{name}-links")
 
 
 def _weak_links(docs: DataFrame, weak: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:
@@ -430,64 +482,79 @@ def _cross(members: DataFrame, labels: DataFrame) -> DataFrame:
     return x.join(y, "g").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _folded(sketches: list[bytes], width: int) -> np.ndarray:
-    out = np.empty((len(sketches), width // 8), U64)
-    for k, raw in enumerate(sketches):
-        x = np.frombuffer(raw, U64)
-        while len(x) * 8 > width:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[k] = x
-    return out
-
-
-def _cross_hot(warm: DataFrame, probes: DataFrame, labels: DataFrame, nodes: DataFrame, block: int = 2_000) -> DataFrame:
-    """Pairs of a hot group in different components whose larger set is a probe, and whose sketches allow a link.
-
-    Members are dealt into blocks by node, probes likewise; each pair of blocks is one group of rows
-    in which sketches are compared as arrays, so only pairs that may link become rows.
-    """
-    asked = probes.select("g", "node").withColumn("probe", F.lit(True))
-    m = _mixed(warm.join(asked, ["g", "node"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), labels, "hot")
-    m = m.join(nodes.select("node", "sketch"), "node")
-    # outside the largest component, or compared with what is: a probe needs all members unless the group has one component apart from it
-    size = m.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("mb"), F.ceil(F.sum(F.col("probe").cast("int")) / block).cast("int").alias("pb"))
-    m = m.join(size, "g")
-    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
-    columns = ["g", "i", "j", "side", "node", "n", "label", "sketch"]
-    left = m.where("probe").withColumn("i", at(F.col("pb"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("side", F.lit(0)).select(columns)
-    right = m.where("pb > 0").withColumn("j", at(F.col("mb"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1))).withColumn("side", F.lit(1)).select(columns)
+class _Block:
+    """Sets of a block of nodes by size, with the components known so far."""
+
+    def __init__(self, node: np.ndarray, label: np.ndarray, home: np.ndarray, sets: list[np.ndarray]):
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        self.node, self.home, self.sets = node[order], home[order], [sets[k] for k in order]
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.root = np.unique(label[order], return_inverse=True)[1]
+
+    def sketches(self, first: int, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(_parity(s, width) for s in self.sets[first:]), U64).reshape(-1, width // 64)
+
+    def joined(self, across: bool) -> list[tuple[int, int]]:
+        """Links that join components, as (a, b); with `across`, only nodes of different homes are compared."""
+        n, out, width, first, held = self.n, [], 0, 0, None
+        for y in range(1, len(n)):
+            low = int(np.searchsorted(n * 100, PERCENT * n[y], "left"))
+            need = min(8192, 64 << max(0, int(4 * n[y] - 1).bit_length() - 6))
+            if need != width:
+                width, first = need, low
+                held = self.sketches(first, width)
+            may = self.root[low:y] != self.root[y]
+            if across:
+                may &= self.home[low:y] != self.home[y]
+            x = np.flatnonzero(may) + low
+            if not len(x):
+                continue
+            apart = np.bitwise_count(held[x - first] ^ held[y - first]).sum(1, dtype=np.int64)
+            near = apart <= may_differ(n[x], n[y])
+            x, apart = x[near], apart[near]
+            for k in x[np.argsort(apart, kind="stable")].tolist():
+                if self.root[k] != self.root[y] and links(self.sets[k], self.sets[y]):
+                    a, b = sorted((int(self.node[k]), int(self.node[y])))
+                    out.append((a, b))
+                    self.root[self.root == self.root[k]] = self.root[y]
+        return out
+
+
+def _hot_links(docs: DataFrame, warm: DataFrame, labels: DataFrame, nodes: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
+    """Links that join the components within hot groups: of clusters of groups, in pairs of blocks."""
+    m = _mixed(warm, labels, "hot")
+    hubs = m.groupBy("g").agg(F.min("node").alias("v"))
+    edges = m.join(hubs, "g").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    cluster = components(edges, "clusters").select("node", F.col("label").alias("cluster"))
+    members = m.select("node", "label").distinct().join(cluster, "node").join(nodes.select("node", "uid", "n"), "node")
+    members = table(members, "clustered")
+    sets = table(_sets_of(docs, members, "hot"), "hot-sets", "none")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))
+    rows = members.join(sizes, "cluster").withColumn("home", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "node", "label", "home").join(sets, "node")
 
     def solve(t: pa.Table) -> pa.Table:
-        side = np.asarray(t.column("side"))
-        node, n, label = (np.asarray(t.column(c)) for c in ("node", "n", "label"))
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        raw = t.column("sketch").to_pylist()
-        found_a, found_b = [], []
-        if len(p) and len(q):
-            sketches = _folded(raw, min(map(len, raw)))
-            for k in p:
-                fits = q[(n[q] <= n[k]) & (n[q] * 100 >= PERCENT * n[k]) & (label[q] != label[k])]
-                if len(fits):
-                    apart = np.bitwise_count(sketches[fits] ^ sketches[k]).sum(1, dtype=np.int64)
-                    fits = fits[apart <= may_differ(n[fits], n[k])]
-                    found_a.append(np.minimum(node[fits], node[k]))
-                    found_b.append(np.maximum(node[fits], node[k]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return left.unionByName(right).groupBy("g", "i", "j").applyInArrow(solve, "a long, b long").distinct()
+        found = [np.frombuffer(x.as_buffer(), U64) for x in t.column("members")]
+        node, label, home = (np.asarray(t.column(c)) for c in ("node", "label", "home"))
+        out = _Block(node, label, home, found).joined(across=t.column("i")[0].as_py() != t.column("j")[0].as_py())
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ()))], ["a", "b"])
+
+    n = partitions(docs.sparkSession, members.count(), 2_000)
+    return rows.repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long")
 
 
 def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> DataFrame:
     """doc_id, n_shingles, component_id and node of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.monotonically_increasing_id())
+    rows = numbered(scanned(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = table(_sets(rows), "sets")
     nodes = table(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
-    found = table(_groups(_segments(rows, buckets), buckets, hot), "groups")
+    first = _by_part(nodes.select("uid"), "firsts")
+    found = table(_groups(_segments(rows, first, buckets), buckets, hot), "groups")
     links_found = []
 
     most = F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))
@@ -517,8 +584,9 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     links_found.append(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), labels), nodes, rows, "second"))
     labels = _labels(links_found)
     cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n").distinct()
-    rest = _cross(cool, labels).unionByName(_cross_hot(warm, probes, labels, nodes)).distinct()
-    rest = table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    links_found.append(table(_hot_links(rows, warm, labels, nodes), "hot-links"))
+    labels = _labels(links_found)
+    rest = table(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
     links_found.append(_verified(rest, nodes, rows, "third"))
     labels = _labels(links_found)
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -529,10 +597,17 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row with the smallest id (of equal ids the first), and every row without words; all columns as they are."""
-    names = docs.columns
-    keyed = docs.withColumn("_near_uid", F.monotonically_increasing_id())
+    docs = scanned(docs)
     out = join(docs, **how)
-    first = out.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_o")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", "uid")).alias("f")).select(F.col("f.uid").alias("_near_uid"))
-    empty = out.where("n_shingles = 0").select(F.col("uid").alias("_near_uid"))
-    keep = table(first.unionByName(empty), "kept")
-    return keyed.join(keep, "_near_uid", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    first = out.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_o")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", "uid")).alias("f")).select("f.uid")
+    path = _by_part(first.unionByName(out.where("n_shingles = 0").select("uid")), "kept")
+    name = lacking(docs, "_uid")
+
+    def run(batches):
+        side = _Side(path)
+        for b in batches:
+            for part in side.parts(b):
+                rows = part.rows("uid")
+                yield part.batch.filter(pa.array([u in rows for u in part.uid], pa.bool_())).select(range(1, b.num_columns))
+
+    return numbered(docs, *[docs[f"`{c}`"] for c in docs.columns], name=name).select(name, *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema)

@@ -7,7 +7,11 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,84 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _File:
+    """A Parquet file that gets its name when it is whole, so that a task that fails or runs again leaves none in part."""
+
+    def __init__(self, store: fs.FileSystem, folder: str, name: str):
+        self.store, self.path, self.own = store, f"{folder}/{name}.parquet", f"{folder}/.{name}-{TaskContext.get().taskAttemptId()}"
+        self.held, self.size, self.writer, self.rows = [], 0, None, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.held.append(batch)
+        self.size += batch.nbytes
+        self.rows += batch.num_rows
+        if self.size > 8 << 20:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            if self.writer is None:
+                self.out = self.store.open_output_stream(self.own)
+                self.writer = pq.ParquetWriter(self.out, self.held[0].schema, compression="zstd")
+            self.writer.write_table(pa.Table.from_batches(self.held))
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        self._flush()
+        if self.writer is not None:
+            self.writer.close()
+            self.out.close()
+            self.store.move(self.own, self.path)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Like table(), written by the tasks' Python workers: for many small tables, as Hadoop's local file system starts a process for each file and folder."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base, recursive=True)
+
+    def run(batches):
+        own_store, folder = fs.FileSystem.from_uri(path)
+        file = _File(own_store, folder, f"{TaskContext.get().partitionId():06d}")
+        for b in batches:
+            if b.num_rows:
+                file.add(b)
+        file.close()
+        yield pa.record_batch([pa.array([file.rows])], ["n"])
+
+    df.mapInArrow(run, "n long").collect()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_by(df: DataFrame, key: str, name: str) -> str:
+    """Write df in one file for each value of a long column, named by it; returns the folder."""
+    path = scratch(df.sparkSession, name)
+    store, base = fs.FileSystem.from_uri(path)
+    store.create_dir(base, recursive=True)
+    at = df.columns.index(key)
+
+    def run(batches):
+        own_store, folder = fs.FileSystem.from_uri(path)
+        file, last, n = None, None, 0
+        for b in batches:
+            k = b.column(at).to_numpy()
+            edges = [0, *((k[1:] != k[:-1]).nonzero()[0] + 1).tolist(), len(k)] if len(k) else []
+            for a, z in itertools.pairwise(edges):
+                if file is None or k[a] != last:
+                    if file is not None:
+                        file.close()
+                    last, n = int(k[a]), n + 1
+                    file = _File(own_store, folder, str(last))
+                file.add(b.slice(a, z - a))
+        if file is not None:
+            file.close()
+        yield pa.record_batch([pa.array([n])], ["n"])
+
+    df.repartition(key).sortWithinPartitions(key).mapInArrow(run, "n long").collect()
+    return path
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python workers by bytes, not only by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

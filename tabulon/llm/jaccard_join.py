@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, release, slices, text_column, words
-from .common import lacking, numbered, partitions, scanned, scratch, small_batches, table
+from .common import kept, kept_by, lacking, numbered, partitions, scanned, small_batches
 from .components import components
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
@@ -292,26 +292,21 @@ def _groups(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
 
 
 def _by_part(df: DataFrame, name: str) -> str:
-    """Write df (uid, ...) in one folder for each part of the documents, where the task that reads a part finds it."""
-    path = scratch(df.sparkSession, name)
-    df.withColumn("part", F.shiftright("uid", _PART_BITS)).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
-    return path
+    """Write df (uid, ...) in one file for each part of the documents, where the task that reads a part finds it."""
+    return kept_by(df.withColumn("part", F.shiftright("uid", _PART_BITS)), "part", name)
 
 
 class _Part:
     """Rows of a batch that lie in one part, and what its side tables hold."""
 
     def __init__(self, number: int, batch: pa.RecordBatch, paths: tuple[str, ...]):
-        self.number, self.batch, self.tables = number, batch, [self._read(f"{p}/part={number}") for p in paths]
+        self.number, self.batch, self.tables = number, batch, [self._read(f"{p}/{number}.parquet") for p in paths]
         self._by_uid: dict[int, list[int]] | None = None
 
     @staticmethod
     def _read(path: str) -> pa.Table | None:
-        store, base = fs.FileSystem.from_uri(path)
-        if store.get_file_info(base).type == fs.FileType.NotFound:
-            return None
-        files = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
-        return pa.concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in sorted(files)])
+        store, file = fs.FileSystem.from_uri(path)
+        return None if store.get_file_info(file).type == fs.FileType.NotFound else pq.read_table(file, filesystem=store)
 
     @property
     def uid(self) -> list[int]:
@@ -368,7 +363,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 
 def _checked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b, uid of b) that link, with the sets (node, members) of all a; b's set is computed where its document is read, and a's goes once to each part that asks for it."""
-    pairs = table(pairs, f"{name}-asked")
+    pairs = kept(pairs, f"{name}-asked")
     path = _by_part(pairs, f"{name}-pairs")
     asked = pairs.select(F.shiftleft(F.shiftright("uid", _PART_BITS), _PART_BITS).alias("uid"), F.col("a").alias("node")).distinct()
     side_sets = _by_part(asked.join(sets, "node"), f"{name}-with")
@@ -410,12 +405,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) ->
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    left = table(joined.mapInArrow(near, "a long, b long"), f"{name}-near")
+    left = kept(joined.mapInArrow(near, "a long, b long"), f"{name}-near")
     where = nodes.select("node", "uid")
     wanted = left.select(F.col("a").alias("node")).distinct().join(where, "node").select("uid", "node")
-    sets = table(_sets_of(docs, wanted, name), f"{name}-sets", "none")
+    sets = kept(_sets_of(docs, wanted, name), f"{name}-sets")
     asked = left.join(where.select(F.col("node").alias("b"), "uid"), "b").select("uid", "a", "b")
-    return table(_checked(docs, asked, sets, name), f"{name}-links")
+    return kept(_checked(docs, asked, sets, name), f"{name}-links")
 
 
 def _weak_links(docs: DataFrame, weak: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:
@@ -470,7 +465,7 @@ def _mixed(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     m = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = m.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main")).where("parts > 1")
-    return table(m.join(main.select("g", "main"), "g"), name)
+    return kept(m.join(main.select("g", "main"), "g"), name)
 
 
 def _cross(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -527,8 +522,8 @@ def _hot_links(docs: DataFrame, warm: DataFrame, labels: DataFrame, nodes: DataF
     edges = m.join(hubs, "g").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     cluster = components(edges, "clusters").select("node", F.col("label").alias("cluster"))
     members = m.select("node", "label").distinct().join(cluster, "node").join(nodes.select("node", "uid", "n"), "node")
-    members = table(members, "clustered")
-    sets = table(_sets_of(docs, members, "hot"), "hot-sets", "none")
+    members = kept(members, "clustered")
+    sets = kept(_sets_of(docs, members, "hot"), "hot-sets")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))
     rows = members.join(sizes, "cluster").withColumn("home", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -549,18 +544,18 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     spark = docs.sparkSession
     small_batches(spark)
     rows = numbered(scanned(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = table(_sets(rows), "sets")
-    nodes = table(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
+    sets = kept(_sets(rows), "sets")
+    nodes = kept(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
     first = _by_part(nodes.select("uid"), "firsts")
-    found = table(_groups(_segments(rows, first, buckets), buckets, hot), "groups")
+    found = kept(_groups(_segments(rows, first, buckets), buckets, hot), "groups")
     links_found = []
 
     most = F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))
     weak = nodes.where(F.col("filled") <= most)
     if weak.limit(1).count():
-        links_found.append(table(_weak_links(rows, weak), "weak"))
+        links_found.append(kept(_weak_links(rows, weak), "weak"))
 
     # hot groups: members, and the sets that need them, each with the rarest hot keys it needs
     members = found.where("kind = 2").select("g", F.col("a").alias("node"), "n", "own")
@@ -568,8 +563,8 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     mine = sized.where("own").join(nodes.select("node", "filled"), "node")
     by_node = Window.partitionBy("node")
     mine = mine.withColumn("others", F.col("filled") - F.count(F.lit(1)).over(by_node)).withColumn("rank", F.row_number().over(by_node.orderBy("c", "g")))
-    probes = table(mine.where(F.col("rank") <= most + 1 - F.col("others")).select("g", "node", "n"), "probes")
-    warm = table(members.select("g", "node", "n").join(probes.select("g").distinct(), "g", "left_semi"), "warm")
+    probes = kept(mine.where(F.col("rank") <= most + 1 - F.col("others")).select("g", "node", "n"), "probes")
+    warm = kept(members.select("g", "node", "n").join(probes.select("g").distinct(), "g", "left_semi"), "warm")
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
     classes = probes.withColumn("level", level)
     heads = classes.groupBy("g", "level").agg(F.min(F.struct("node", "n")).alias("h"))
@@ -577,16 +572,16 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     next_ = heads.select("g", (F.col("level") + 1).alias("level"), F.col("h").alias("k"))
     stars = stars.unionByName(heads.join(next_, ["g", "level"]).select(F.least("h.node", "k.node").alias("a"), F.greatest("h.node", "k.node").alias("b")))
 
-    pairs = table(found.where("kind = 0").select("a", "b").unionByName(stars).where("a <> b").distinct(), "pairs")
+    pairs = kept(found.where("kind = 0").select("a", "b").unionByName(stars).where("a <> b").distinct(), "pairs")
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links_found.append(_verified(one, nodes, rows, "first"))
     labels = _labels(links_found)
     links_found.append(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), labels), nodes, rows, "second"))
     labels = _labels(links_found)
     cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n").distinct()
-    links_found.append(table(_hot_links(rows, warm, labels, nodes), "hot-links"))
+    links_found.append(kept(_hot_links(rows, warm, labels, nodes), "hot-links"))
     labels = _labels(links_found)
-    rest = table(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = kept(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
     links_found.append(_verified(rest, nodes, rows, "third"))
     labels = _labels(links_found)
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -36,21 +36,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, release, slices, text_column, words
-from .common import kept, kept_by, lacking, numbered, partitions, scanned, small_batches
+from .common import kept, lacking, numbered, partitions, scanned, small_batches
 from .components import components
+from .sides import PART_BITS, Side, by_part
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U64)
 PERCENT, SHINGLE, SMALL, HOT = 75, 5, 64, 24
 #: Bytes of text that a worker handles at once: hashes take many times that.
 SLICE_BYTES = 1 << 20
-#: Rows whose side tables lie in one folder: those of one file whose numbers share the upper bits.
-_PART_BITS = 14
 #: Segments of a band are 2^k / LOAD: a set fills them 1.25 to 2.5 times over in its own band.
 LOAD = 1.25
 
@@ -151,7 +148,7 @@ def _segments(docs: DataFrame, nodes: str, buckets: int) -> DataFrame:
     columns = "bucket int, keys binary, which binary, nodes binary, sizes binary, own binary"
 
     def run(batches):
-        side = _Side(nodes)
+        side = Side(nodes)
         for b in batches:
             for part in side.parts(b):
                 rows = part.rows("uid")
@@ -291,60 +288,12 @@ def _groups(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
 
 
-def _by_part(df: DataFrame, name: str) -> str:
-    """Write df (uid, ...) in one file for each part of the documents, where the task that reads a part finds it."""
-    return kept_by(df.withColumn("part", F.shiftright("uid", _PART_BITS)), "part", name)
-
-
-class _Part:
-    """Rows of a batch that lie in one part, and what its side tables hold."""
-
-    def __init__(self, number: int, batch: pa.RecordBatch, paths: tuple[str, ...]):
-        self.number, self.batch, self.tables = number, batch, [self._read(f"{p}/{number}.parquet") for p in paths]
-        self._by_uid: dict[int, list[int]] | None = None
-
-    @staticmethod
-    def _read(path: str) -> pa.Table | None:
-        store, file = fs.FileSystem.from_uri(path)
-        return None if store.get_file_info(file).type == fs.FileType.NotFound else pq.read_table(file, filesystem=store)
-
-    @property
-    def uid(self) -> list[int]:
-        return self.batch.column(0).to_pylist()
-
-    def rows(self, column: str, k: int = 0) -> dict[int, list[int]]:
-        """Row numbers of a side table by a column's value."""
-        if self._by_uid is None:
-            self._by_uid = {}
-            for r, u in enumerate(self.tables[k].column(column).to_pylist() if self.tables[k] is not None else ()):
-                self._by_uid.setdefault(u, []).append(r)
-        return self._by_uid
-
-
-class _Side:
-    """Side tables of the documents, read part by part as a scan goes on; the last part stays."""
-
-    def __init__(self, *paths: str):
-        self.paths, self.last = paths, None
-
-    def parts(self, batch: pa.RecordBatch):
-        """The batch (uid first) by parts."""
-        number = np.asarray(batch.column(0)) >> _PART_BITS
-        edge = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, int)
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if self.last is None or self.last.number != number[a]:
-                self.last = None
-                self.last = _Part(int(number[a]), batch, self.paths)
-            self.last.batch = batch.slice(a, z - a)
-            yield self.last
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     """node, members: the sets of the wanted (uid, node), computed where the documents are read; no text is moved."""
-    path = _by_part(wanted.select("uid", "node"), f"{name}-wanted")
+    path = by_part(wanted.select("uid", "node"), f"{name}-wanted")
 
     def run(batches):
-        side = _Side(path)
+        side = Side(path)
         for b in batches:
             for part in side.parts(b):
                 rows = part.rows("uid")
@@ -364,12 +313,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 def _checked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b, uid of b) that link, with the sets (node, members) of all a; b's set is computed where its document is read, and a's goes once to each part that asks for it."""
     pairs = kept(pairs, f"{name}-asked")
-    path = _by_part(pairs, f"{name}-pairs")
-    asked = pairs.select(F.shiftleft(F.shiftright("uid", _PART_BITS), _PART_BITS).alias("uid"), F.col("a").alias("node")).distinct()
-    side_sets = _by_part(asked.join(sets, "node"), f"{name}-with")
+    path = by_part(pairs, f"{name}-pairs")
+    asked = pairs.select(F.shiftleft(F.shiftright("uid", PART_BITS), PART_BITS).alias("uid"), F.col("a").alias("node")).distinct()
+    side_sets = by_part(asked.join(sets, "node"), f"{name}-with")
 
     def run(batches):
-        side = _Side(path, side_sets)
+        side = Side(path, side_sets)
         for b in batches:
             for part in side.parts(b):
                 rows = part.rows("uid")
@@ -548,7 +497,7 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     nodes = kept(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
-    first = _by_part(nodes.select("uid"), "firsts")
+    first = by_part(nodes.select("uid"), "firsts")
     found = kept(_groups(_segments(rows, first, buckets), buckets, hot), "groups")
     links_found = []
 
@@ -595,11 +544,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     docs = scanned(docs)
     out = join(docs, **how)
     first = out.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_o")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", "uid")).alias("f")).select("f.uid")
-    path = _by_part(first.unionByName(out.where("n_shingles = 0").select("uid")), "kept")
+    path = by_part(first.unionByName(out.where("n_shingles = 0").select("uid")), "kept")
     name = lacking(docs, "_uid")
 
     def run(batches):
-        side = _Side(path)
+        side = Side(path)
         for b in batches:
             for part in side.parts(b):
                 rows = part.rows("uid")

@@ -207,10 +207,15 @@ def test_suffix_dedup(spark, odd, contexts):
     for _ in range(80):
         texts.append("".join(rng.choice([*passages, "".join(rng.choice("xyzé ") for _ in range(rng.randint(0, 60)))]) for _ in range(rng.randint(0, 5))))
     texts += ["ab" * 100, "q" * 90, texts[3], texts[3], None, ""]
+    once = lambda: "".join(rng.choice("ijklmnop") for _ in range(50))
+    texts += [once() + passages[0][:30] + once() + "rstuv" * 6 + once(), once() + "rstuv" * 6]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
-    got = by_rows(suffix_dedup.dedup(H.stored(spark, rows), length=40, shard_contexts=contexts, shard_bytes=5_000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == sorted(((i, *w) for i, w in enumerate(H.repeats(texts, 40))), key=repr)
+    got = by_rows(suffix_dedup.dedup(H.stored(spark, rows), length=40, report=26, shard_contexts=contexts, shard_bytes=5_000), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated")
+    short = H.repeats(texts, 26)
+    assert got == sorted(((i, *w, short[i][1]) for i, w in enumerate(H.repeats(texts, 40))), key=repr)
+    assert any(r[2] < r[5] for r in got)
     if contexts == 3:
+        assert suffix_dedup.dedup(H.stored(spark, [], H.SCHEMA, 1)).count() == 0
         want = H.repeats([t for _, t, _ in H.ODD], 400)
         assert by_rows(suffix_dedup.dedup(odd), "doc_id", "n_removed", "kept_sha256") == sorted(((k, w[1], w[3]) for (k, _, _), w in zip(H.ODD, want, strict=True)), key=repr)
 
@@ -227,7 +232,7 @@ def test_key_ranges_grow_with_the_contexts_of_a_gram(spark):
         m.setattr(suffix_dedup, "_merged", lambda found, n: seen.append(found) or merged(found, n))
         got = by_rows(suffix_dedup.dedup(df, length=40, shard_contexts=2), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(((i, *w) for i, w in enumerate(H.repeats(texts, 40))), key=repr)
-    assert seen[0].where("kind = 1").agg(F.max("range")).first()[0] >= 16
+    assert seen[0].where("kind in (1, 3)").agg(F.max("range")).first()[0] >= 16
 
 
 def test_token_counts(spark, odd, none):

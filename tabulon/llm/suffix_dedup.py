@@ -13,7 +13,8 @@ any document or the same one.
 3. Different contexts around the same gram are dealt into shards by gram.  Each shard's suffixes
    are sorted by Larsson-Sadakane refinement (eight bytes at first, then doubling the groups
    still equal), Kasai's walk gives the common prefixes of neighbours, and starts that share
-   ``length`` bytes (or ``report``) with another start repeat.
+   ``length`` bytes (or ``report``) with another start repeat.  Starts of strings whose hash comes
+   once in their gram are left out beforehand.
 4. Contexts of a gram that has more of them than ``shard_contexts`` are spread over several shards.
    Each shard hands on the sorted keys of its strings, once per shard and key range, and the
    runs of a range are merged by binary search of each in the others.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, prefix_hash, range_hash, release, slices, text_column, window_hash, window_min
+from .arrays import U64, mix, prefix_hash, range_hash, release, slices, text_column, window_hash, window_min
 from .common import numbered, partitions, scanned, small_batches, table
 from .sides import Side, by_part
 
@@ -73,11 +74,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, report: int) ->
 
 def refine(key: np.ndarray, live: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: the suffixes at `live`, sorted.  `key` has eight bytes from each place, `end` the place after each one's context, where a mark of its own ends the suffix."""
+    live = live.astype(np.int32)
     sa = live[np.argsort(key[live], kind="stable")]
     k = key[sa]
     new = np.r_[True, k[1:] != k[:-1]] if len(sa) else np.zeros(0, bool)
-    rank = np.zeros(len(key), np.int64)
-    marks = np.unique(end[live])
+    rank = np.zeros(len(key), np.int32)
+    mark = np.zeros(len(key), bool)
+    mark[end[live]] = True
+    marks = np.flatnonzero(mark)
     rank[marks] = np.arange(len(marks)) + len(sa) + 1  # an end sorts above all bytes, as the parting byte 255 does
     group = np.maximum.accumulate(np.where(new, np.arange(len(sa)), 0))
     rank[sa] = group + 1
@@ -85,7 +89,7 @@ def refine(key: np.ndarray, live: np.ndarray, end: np.ndarray) -> np.ndarray:
     h = 8
     while len(slot):
         at = sa[slot]
-        both = (rank[at] << 32) | rank[np.minimum(at + h, end[at])]
+        both = (rank[at].astype(np.int64) << 32) | rank[np.minimum(at + h, end[at])]
         order = np.argsort(both, kind="stable")
         at, both = at[order], both[order]
         sa[slot] = at
@@ -149,7 +153,7 @@ class Contexts:
         for k in range(8):
             key |= padded[k : k + len(data)].astype(U64) << U64(56 - 8 * k)
         live = np.concatenate([np.arange(a, a + z) for a, z in zip(start, size, strict=True)])
-        end = np.zeros(len(data), np.int64)
+        end = np.zeros(len(data), np.int32)
         end[live] = np.repeat(start + size, size)
         self.sa = refine(key, live, end)
         lcp = kasai(data, self.sa, live, end, start, size, length)
@@ -227,10 +231,37 @@ def _spans(uid: np.ndarray, at: np.ndarray):
         yield int(uid[a]), int(at[a]), int(at[z])
 
 
+def _likely(rows: list[dict], length: int, report: int) -> list[dict]:
+    """Contexts cut to the starts, from first to last, whose string of `report` bytes has a hash that its gram has again: no other start can repeat.  Those of split grams stay whole."""
+    own = np.array([r["hi"] - r["lo"] + 1 for r in rows], np.int64)
+    size = np.array([len(r["body"]) for r in rows], np.int64)
+    first = np.cumsum(own) - own
+    at = np.arange(int(own.sum())) + np.repeat(np.cumsum(size) - size - first, own)
+    h = range_hash(prefix_hash(np.frombuffer(b"".join(r["body"] for r in rows), np.uint8)), at, at + report)
+    h ^= mix(np.repeat(np.array([r["gram"] for r in rows], np.int64).view(U64), own))
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    again = np.zeros(len(h), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    hit = np.flatnonzero(again)
+    i, j = np.searchsorted(hit, first), np.searchsorted(hit, first + own)
+    out = []
+    for k, r in enumerate(rows):
+        if r["ranges"]:
+            out.append(r)
+        elif j[k] > i[k]:
+            a, z = int(hit[i[k]] - first[k]), int(hit[j[k] - 1] - first[k])
+            out.append({**r, "lo": r["lo"] + a, "hi": r["lo"] + z, "body": r["body"][a : z + length]})
+    return out
+
+
 def _shard_rows(texts: DataFrame, length: int, report: int, n_parts: int, shard_bytes: int) -> DataFrame:
     """Kind 0 or 2: repeated starts [lo, hi] of uid, found within a shard, of `length` or `report` bytes.  Kind 1 or 3: likewise the sorted string keys of a split gram's shard, by key range."""
 
     def solve(rows):
+        rows = _likely(rows, length, report)
+        if not rows:
+            return []
         c = Contexts([r["body"] for r in rows], np.array([r["hi"] - r["lo"] + 1 for r in rows], np.int64), length, report)
         of = lambda k: np.array([r[k] for r in rows])[c.context]
         uid, at, whole, ranges, gram = of("uid"), of("lo") + c.place, of("n") > 1, of("ranges"), of("gram")
@@ -308,7 +339,7 @@ def _merged(found: DataFrame, n_parts: int) -> DataFrame:
     return rows.mapInArrow(run, "uid long, lo long, hi long, long boolean")
 
 
-def repeated_starts(docs: DataFrame, length: int = 400, report: int = 256, shard_bytes: int = 3 << 20, shard_contexts: int = 4_000) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = 400, report: int = 256, shard_bytes: int = 512 << 10, shard_contexts: int = 1_500) -> DataFrame:
     """uid, lo, hi, long: first and last of consecutive starts of strings of `length` bytes (long) or else of `report` that occur elsewhere too, of docs (uid, text).
 
     Starts of whole contexts are long, also those for which their document has no `length` bytes left.
@@ -316,8 +347,10 @@ def repeated_starts(docs: DataFrame, length: int = 400, report: int = 256, shard
     spark = docs.sparkSession
     small_batches(spark)
     rows = table(_anchor_rows(docs, length, report), "anchors")
+    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("gram")
+    rows = table(rows.join(again, "gram", "left_semi"), "again")
     classes = rows.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "hi", "stop")).alias("one"))
-    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
+    grams = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     known = table(classes.join(grams, "gram"), "contexts")
     whole = rows.join(known.where("n > 1").select("gram", "context"), ["gram", "context"]).select("uid", "lo", "hi", F.lit(True).alias("long"))
     shards = F.ceil(F.col("kinds") / shard_contexts)

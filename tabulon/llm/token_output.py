@@ -31,43 +31,53 @@ from .tokens import ids_bytes, worker_encoder
 SHARD = "part int, shard int, start long, n_ids long, base long, doc_ids binary, doc_nulls binary, symbols_before binary, rules binary, lengths binary, symbols binary"
 
 
-def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, most: int = 4096, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (pairs of symbols) and the kept `last` marks.  A round replaces up to `most` pairs that occur `least` times or more, and rounds go on until there are none, or to the given number; `last` marks ids that no pair may start with."""
+def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, most: int = 1 << 17, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs of symbols) and the kept `last` marks.
+
+    A round replaces all pairs that occur `least` times or more (of more than `most`, the most frequent), and
+    rounds go on until there are none, or to the given number; `last` marks ids that no pair may
+    start with.  An occurrence that a round passes over is overlapped by one that it replaces,
+    so after a whole round only pairs with a new symbol can be frequent.
+    """
     rules = np.zeros((0, 2), np.uint32)
-    bits = 20
+    open_ = ~last[:-1]
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(ids) < 2:
-            break
-        # pairs are counted by hash first; only those of the fullest bins are sorted
-        bin_ = ((ids[:-1] * np.uint32(0x9E3779B1) + ids[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
-        counts = np.bincount(bin_[~last[:-1]], minlength=1 << bits)
-        floor = max(least, int(np.partition(counts, -most)[-most]))
-        take = most
-        while True:
-            often = np.flatnonzero((counts >= floor)[bin_] & ~last[:-1])
-            pair = (ids[often].astype(np.uint64) << np.uint64(32)) | ids[often + 1]
-            found, count = np.unique(pair, return_counts=True)
-            if floor == least or (len(found) and count.max() >= least):
-                break
-            floor, take = least, len(ids)  # the fullest bins only held different pairs: all that are left are rare, and are taken at once
-        if not len(found) or count.max() < least:
+        at = np.flatnonzero(open_)
+        if len(at) > 1 << 18:  # pairs of bins that hold fewer are rare
+            bin_ = ((ids[at] * np.uint32(0x9E3779B1) + ids[at + 1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(12)
+            at = at[(np.bincount(bin_, minlength=1 << 20) >= least)[bin_]]
+        pair = (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1]
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else at
+        count = np.diff(np.r_[first, len(pair)])
+        keep = count >= least
+        whole = int(keep.sum()) <= most
+        if not whole:
+            keep[np.argsort(-count, kind="stable")[most:]] = False
+        if not keep.any():
             break
-        keep = np.argsort(-count, kind="stable")[:take]
-        found = np.sort(found[keep[count[keep] >= least]])
-        at = np.minimum(np.searchsorted(found, pair), len(found) - 1)
-        hit = found[at] == pair
-        where, rule = often[hit], at[hit]
+        number = np.where(keep, np.cumsum(keep) - 1, -1)
+        rule = np.empty(len(at), np.int64)
+        rule[order] = np.repeat(number, count)
+        where, rule = at[rule >= 0], rule[rule >= 0]
         head = np.r_[True, np.diff(where) > 1]
         place = np.arange(len(where)) - np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
         where, rule = where[place % 2 == 0], rule[place % 2 == 0]  # of overlapping pairs every other one, from the left
+        new = base + len(rules)
         ids = ids.copy()
-        ids[where] = (base + len(rules) + rule).astype(np.uint32)
+        ids[where] = (new + rule).astype(np.uint32)
         stays = np.ones(len(ids), bool)
         stays[where + 1] = False
         last = last.copy()
         last[where] = last[where + 1]
         ids, last = ids[stays], last[stays]
+        found = pair[first[keep]]
         rules = np.concatenate([rules, np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        open_ = ~last[:-1]
+        if whole:
+            fresh = ids >= new
+            open_ &= fresh[:-1] | fresh[1:]
     return ids, rules, last
 
 

@@ -144,7 +144,7 @@ def kasai(data: np.ndarray, sa: np.ndarray, live: np.ndarray, end: np.ndarray, s
 class Contexts:
     """A shard: the texts of contexts, with the starts that each of them owns.  Byte 255, which UTF-8 never has, parts the contexts."""
 
-    def __init__(self, texts: list[bytes], owned: np.ndarray, length: int, report: int):
+    def __init__(self, texts: list[bytes], owned: np.ndarray, length: int, report: int | None = None):
         size = np.array([len(t) for t in texts], np.int64)
         start = np.cumsum(size + 8) - size - 8
         data = np.frombuffer(b"".join(t + b"\xff" * 8 for t in texts), np.uint8)
@@ -162,7 +162,7 @@ class Contexts:
         self.place = self.own - start[self.context]
         self.room = end[self.own] - self.own
         self.data = data
-        self.repeats, self.short = (self._repeated(lcp, k) for k in (length, report))
+        self.repeats, self.short = (self._repeated(lcp, k) for k in (length, report or length))
 
     def _repeated(self, lcp: np.ndarray, length: int) -> np.ndarray:
         """Owned starts in a run of several whose suffixes share `length` bytes, each with the one before."""

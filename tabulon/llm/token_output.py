@@ -39,14 +39,16 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = No
     start with.  An occurrence that a round passes over is overlapped by one that it replaces,
     so after a whole round only pairs with a new symbol can be frequent.
     """
-    rules = np.zeros((0, 2), np.uint32)
-    open_ = ~last[:-1]
+    rules, end = [], np.uint32(1 << 31)  # the highest bit of an id is its mark
+    ids = np.where(last, ids | end, ids)
+    at, new = np.flatnonzero(ids[:-1] < end), base
     for _ in itertools.count() if rounds is None else range(rounds):
-        at = np.flatnonzero(open_)
-        if len(at) > 1 << 18:  # pairs of bins that hold fewer are rare
-            bin_ = ((ids[at] * np.uint32(0x9E3779B1) + ids[at + 1] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(12)
-            at = at[(np.bincount(bin_, minlength=1 << 20) >= least)[bin_]]
-        pair = (ids[at].astype(np.uint64) << np.uint64(32)) | ids[at + 1]
+        left, right = ids[at], ids[at + 1] & ~end
+        if len(at) > 1 << 17:  # pairs of bins that hold fewer are rare
+            bin_ = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(11)
+            often = (np.bincount(bin_, minlength=1 << 21) >= least)[bin_]
+            at, left, right = at[often], left[often], right[often]
+        pair = (left.astype(np.uint64) << np.uint64(32)) | right
         order = np.argsort(pair)
         pair = pair[order]
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else at
@@ -57,28 +59,28 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = No
             keep[np.argsort(-count, kind="stable")[most:]] = False
         if not keep.any():
             break
-        number = np.where(keep, np.cumsum(keep) - 1, -1)
-        rule = np.empty(len(at), np.int64)
+        number = np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32)
+        rule = np.empty(len(at), np.int32)
         rule[order] = np.repeat(number, count)
-        where, rule = at[rule >= 0], rule[rule >= 0]
+        hit = np.flatnonzero(rule >= 0)
+        where, rule = at[hit], rule[hit]
         head = np.r_[True, np.diff(where) > 1]
-        place = np.arange(len(where)) - np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
-        where, rule = where[place % 2 == 0], rule[place % 2 == 0]  # of overlapping pairs every other one, from the left
-        new = base + len(rules)
-        ids = ids.copy()
-        ids[where] = (new + rule).astype(np.uint32)
+        if not head.all():  # of overlapping pairs every other one, from the left
+            place = np.arange(len(where)) - np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
+            where, rule = where[place % 2 == 0], rule[place % 2 == 0]
+        ids[where] = (ids[where + 1] & end) | (new + rule).astype(np.uint32)
         stays = np.ones(len(ids), bool)
         stays[where + 1] = False
-        last = last.copy()
-        last[where] = last[where + 1]
-        ids, last = ids[stays], last[stays]
+        ids = ids[stays]
         found = pair[first[keep]]
-        rules = np.concatenate([rules, np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-        open_ = ~last[:-1]
+        rules.append(np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         if whole:
-            fresh = ids >= new
-            open_ &= fresh[:-1] | fresh[1:]
-    return ids, rules, last
+            fresh = (ids & ~end) >= new
+            at = np.flatnonzero((fresh[:-1] | fresh[1:]) & (ids[:-1] < end))
+        else:
+            at = np.flatnonzero(ids[:-1] < end)
+        new += len(found)
+    return ids & ~end, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), ids >= end
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:

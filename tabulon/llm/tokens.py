@@ -12,6 +12,7 @@ the pieces encode independently and a worker encodes each distinct piece once:
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -27,7 +28,8 @@ _CAREFUL = re.compile(rb"(?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])+|[ \
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same over printable ASCII and the letters U+00C0..U+00FF, where normalising is lower case alone.
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_SIMPLE_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIMPLE_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SIMPLE_WORDS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: How byte-level tokenizers write the bytes that such letters have.
 _BYTE_CHARS = {chr(c): "".join(chr(b) if 0xA1 <= b <= 0xAC or 0xAE <= b else chr(0x100 + 33 + b - 0x7F) if b <= 0xA0 else chr(0x143) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 _AS_BYTES = str.maketrans(_BYTE_CHARS)
@@ -77,6 +79,10 @@ def kind_of(path: str) -> str:
     return "words" if drops and plain else "whole"
 
 
+#: Parts pieces among the ids of plain words.
+_MARK = b"\xff\xff\xff\xff"
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -104,7 +110,7 @@ class Encoder:
         self.model = model
         self.known: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.frequent = frequent or {}
 
     def encode(self, parts: list[bytes]) -> list[object]:
@@ -122,21 +128,35 @@ class Encoder:
 
     def _learn_simple(self, miss: list[bytes]) -> list[bytes]:
         """Give plain pieces, whose pre-tokens are known without the normalizer, to the library's BPE model at once; returns the others."""
-        rest, known, bpe, value, words = [], self.known, self.bpe.tokenize, self.value, self.words
-        for p in miss:
-            text = p.decode("utf-8")
-            if not _SIMPLE.fullmatch(text) or any(x in text for x in self.specials):
-                rest.append(p)
-                continue
-            ids: list[int] = []
-            for w in _SIMPLE_WORDS.findall(text.lower()):
-                got = words.get(w)
-                if got is None:
-                    got = [t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))]
-                    if len(words) < WORDS:
-                        words[w] = got
-                ids += got
-            known[p] = value(ids)
+        rest: list[bytes] = []
+        text = b"\n".join(miss).decode("utf-8")
+        if not _SIMPLE_LINES.fullmatch(text) or any(x in text for x in self.specials):
+            plain = []
+            for p, t in zip(miss, text.split("\n"), strict=True):
+                (plain if _SIMPLE.fullmatch(t) and not any(x in t for x in self.specials) else rest).append(p)
+            miss, text = plain, b"\n".join(plain).decode("utf-8")
+        if not miss:
+            return rest
+        found = _SIMPLE_WORDS.findall(text.lower())
+        words = self.words
+        new = set(found).difference(words, "\n")
+        if len(words) + len(new) > WORDS:
+            words = {w: words[w] for w in set(found).intersection(words)}
+            if len(words) + len(new) <= WORDS:
+                self.words = words
+        bpe = self.bpe.tokenize
+        for w in new:
+            words[w] = ids_bytes([t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))])
+        words["\n"] = _MARK  # no id is so high
+        values = b"".join(map(words.__getitem__, found)).split(_MARK)
+        if len(values) != len(miss):  # the mark's bytes across two ids
+            values = b"".join(map(words.__getitem__, found))
+            ids = np.frombuffer(values, "<u4")
+            edge = np.flatnonzero(ids == 0xFFFFFFFF) * 4
+            values = [values[a:z] for a, z in zip([0, *(edge + 4).tolist()], [*edge.tolist(), len(values)], strict=True)]
+        if self.value is not ids_bytes:
+            values = [self.value(array("I", v).tolist()) for v in values]
+        self.known.update(zip(miss, values, strict=True))
         return rest
 
     def learn(self, miss: list[bytes]) -> None:
@@ -186,25 +206,23 @@ class Encoder:
         if len(self.known) > KEEP // 2:
             self.older, self.known = self.known, {}
         known, frequent, older = self.known, self.frequent, self.older
-        seen = set().union(*pieces) if pieces else set()
-        lacking = seen.difference(known)
-        if frequent:
-            lacking.difference_update(frequent)
-        again = lacking.intersection(older)
-        known.update((p, older[p]) for p in again)
-        miss = list(lacking - again)
-        self.learn(miss)
-        if frequent:
-            out = []
-            for p in pieces:
-                v = list(map(frequent.get, p))
-                out.append([known[k] if x is None else x for k, x in zip(p, v, strict=True)] if None in v else v)
-        else:
-            out = [list(map(known.__getitem__, p)) for p in pieces]
-        for p in miss:
-            if len(p) > KEEP_BYTES:
-                del known[p]
-        return out
+        flat = list(itertools.chain.from_iterable(pieces))
+        got = list(map(known.get, flat))
+        lacking = {p for p, v in zip(flat, got, strict=True) if v is None}
+        if lacking:
+            if frequent:
+                lacking.difference_update(frequent)
+            again = lacking.intersection(older) if older else set()
+            known.update((p, older[p]) for p in again)
+            miss = list(lacking - again)
+            self.learn(miss)
+            find = (lambda p: frequent[p] if p in frequent else known[p]) if frequent else known.__getitem__
+            got = [find(p) if v is None else v for p, v in zip(flat, got, strict=True)]
+            for p in miss:
+                if len(p) > KEEP_BYTES:
+                    del known[p]
+        ends = list(itertools.accumulate(map(len, pieces), initial=0))
+        return [got[a:z] for a, z in itertools.pairwise(ends)]
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -75,8 +75,8 @@ class _File:
             self.store.move(self.own, self.path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Like table(), written by the tasks' Python workers: for many small tables, as Hadoop's local file system starts a process for each file and folder."""
+def kept(df: DataFrame, name: str, f=None, schema: str | None = None) -> DataFrame:
+    """Like table(), written by the tasks' Python workers: for many small tables, as Hadoop's local file system starts a process for each file and folder.  With f, what it makes of the batches is written, by the same worker."""
     spark = df.sparkSession
     path = scratch(spark, name)
     store, base = fs.FileSystem.from_uri(path)
@@ -85,14 +85,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     def run(batches):
         own_store, folder = fs.FileSystem.from_uri(path)
         file = _File(own_store, folder, f"{TaskContext.get().partitionId():06d}")
-        for b in batches:
+        for b in f(batches) if f else batches:
             if b.num_rows:
                 file.add(b)
         file.close()
         yield pa.record_batch([pa.array([file.rows])], ["n"])
 
     df.mapInArrow(run, "n long").collect()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def kept_by(df: DataFrame, key: str, name: str) -> str:
@@ -129,6 +129,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def rest(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, so that the heap that a heavy step filled is given back before the next one."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).where("java_method('java.lang.System', 'gc') is not null").count()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,10 +9,11 @@ neighbours give the longest verbatim match and where it is, and a second pair of
 searches gives all places of each window.
 
 A window is ``window`` consecutive words of an item; an item with fewer words, but not
-none, is one window.  Words are compared by 64-bit hash and byte length.
+none, is one window.  Words are compared by hash (two residues of 31 bits) and byte length.
 
 The benchmark reaches the workers in blocks of at most ``block_bytes`` text, one
-broadcast each, so no broadcast grows with it; a slice is searched for block after block.
+broadcast each, so no broadcast grows with it; a slice is searched for block after block, and
+driver and workers hold one block at a time.
 
 Null and empty texts have no words; an item without words has no window; an
 item with a null id still hits words and is listed as the empty string; repeated items
@@ -29,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, LOWER, prefix_hash, range_hash, slices, text_column, words
-from .common import SLICE_BYTES, small_batches
+from .arrays import ALNUM, LOWER, prefix_hash, range_hash, release, slices, text_column, words
+from .common import small_batches
+
+#: Bytes of text of a shard.
+SLICE_BYTES = 2 << 20
 
 
 class Items:
@@ -49,27 +53,15 @@ class Items:
         n = np.diff(before)
         self.depth = int(n.max()) if len(n) else 0
         item = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(start)) - before[item]
-        room = max(1, -(-self.depth // self.per)) * self.per
-        self.suffix = np.zeros((len(start), room), np.int64)  # of each word of each item, the ids from there to the item's end
-        left = n[item] - at
-        for k in range(self.depth):
-            has = left > k
-            self.suffix[has, k] = ids[np.flatnonzero(has) + k] + 1
-        # equal suffixes are searched once
-        self.suffix, inverse = np.unique(self.suffix, axis=0, return_inverse=True)
-        self.length = (self.suffix > 0).sum(1)
-        size = np.minimum(window, n)[item]
-        opens = (at <= n[item] - size) & (size > 0)
-        self.window_of, self.window_item, self.window_size = inverse.ravel()[opens], item[opens], size[opens]
-        self.suffix_item = np.zeros(len(self.suffix), np.int64)
-        self.suffix_item[inverse.ravel()[::-1]] = item[::-1]
-
-    def keys(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(ids), ids.shape[1] // self.per), np.int64)
+        self.length = before[item + 1] - np.arange(len(start))  # of each word of each item, the words from there to the item's end
+        self.key = np.zeros(len(start), np.int64)  # and as many of them as fit one key
         for k in range(self.per):
-            out |= ids[:, k :: self.per] << (self.bits * (self.per - 1 - k))
-        return out
+            has = np.flatnonzero(self.length > k)
+            self.key[has] |= (ids[has + k] + 1) << (self.bits * (self.per - 1 - k))
+        size = np.minimum(window, n)[item]
+        self.window_of = np.flatnonzero((self.length >= size) & (size > 0))
+        self.window_item, self.window_size = item[self.window_of], size[self.window_of]
+        self.suffix_item = item
 
     def ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -79,6 +71,22 @@ class Items:
         return np.where((self.vocabulary[at] == h) & (self.sizes[at] == end - start), at + 1, 0)
 
 
+class Query:
+    """Runs of words of the items, key by key, so that a run takes no more room than its place.  With `high`, all words may follow a run, else none."""
+
+    def __init__(self, items: Items, at: np.ndarray, size: np.ndarray, high: bool = False):
+        self.items, self.at, self.size, self.high = items, at, size, high
+        self.blocks = -(-size // items.per)
+
+    def key(self, b: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        it, size = self.items, self.size[rows]
+        left = np.clip(size - b * it.per, 0, it.per)
+        found = it.key[np.minimum(self.at[rows] + b * it.per, max(0, len(it.key) - 1))]
+        free = it.bits * (it.per - left)
+        found = np.where(left > 0, (found >> free) << free, 0)
+        return found | ((1 << free) - 1) if self.high else found
+
+
 class SuffixArray:
     """Sorted suffixes of one shard of word ids; `ids` ends with enough zeros."""
 
@@ -114,41 +122,42 @@ class SuffixArray:
         self.sa = sa
         self.first = key[sa]
 
-    def place(self, keys: np.ndarray, right: bool = False) -> np.ndarray:
-        """For each row of block keys, the slot of the first suffix not below it (right: above it), by binary search."""
-        lo = np.searchsorted(self.first, keys[:, 0], "left")
-        hi = np.searchsorted(self.first, keys[:, 0], "right")
+    def place(self, query: Query) -> np.ndarray:
+        """For each run of the query, the slot of the first suffix not below it (with `high`: above it), by binary search."""
+        first = query.key(0)
+        lo = np.searchsorted(self.first, first, "left")
+        hi = np.searchsorted(self.first, first, "right")
         todo = np.flatnonzero(lo < hi)
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
             below = np.zeros(len(todo), bool)
-            open_ = np.arange(len(todo))
-            for b in range(1, keys.shape[1]):
-                mine, theirs = keys[todo[open_], b], self.key[self.sa[mid[open_]] + b * self.per]
+            open_, b = np.arange(len(todo)), 1
+            while len(open_ := open_[query.blocks[todo[open_]] > b]) or b == 1:
+                mine, theirs = query.key(b, todo[open_]), self.key[self.sa[mid[open_]] + b * self.per]
                 below[open_[theirs < mine]] = True
-                open_ = open_[theirs == mine]
+                if query.high:  # runs that end here, or that the suffix equals so far, are not above it
+                    below[open_[(theirs == mine) & (query.blocks[todo[open_]] == b + 1)]] = True
+                open_, b = open_[theirs == mine], b + 1
                 if not len(open_):
                     break
-            if right:
-                below[open_] = True
+            if query.high:
+                below[query.blocks[todo] <= 1] = True
             lo[todo[below]], hi[todo[~below]] = mid[below] + 1, mid[~below]
             todo = todo[lo[todo] < hi[todo]]
         return lo
 
-    def common(self, keys: np.ndarray, length: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Ids that each query shares with the suffix in its slot (0 where there is no such slot)."""
-        out = np.zeros(len(keys), np.int64)
-        open_ = np.flatnonzero((slot >= 0) & (slot < len(self.sa)))
-        for b in range(keys.shape[1]):
-            differ = keys[open_, b] ^ self.key[self.sa[slot[open_]] + b * self.per]
+    def common(self, query: Query, slot: np.ndarray) -> np.ndarray:
+        """Ids that each run shares with the suffix in its slot (0 where there is no such slot)."""
+        out = np.zeros(len(slot), np.int64)
+        open_, b = np.flatnonzero((slot >= 0) & (slot < len(self.sa))), 0
+        while len(open_ := open_[query.blocks[open_] > b]):
+            differ = query.key(b, open_) ^ self.key[self.sa[slot[open_]] + b * self.per]
             same = np.full(len(open_), self.per)
             for k in range(self.per):
                 same[(differ >> (self.bits * (self.per - 1 - k)) > 0) & (same == self.per)] = k
             out[open_] += same
-            open_ = open_[same == self.per]
-            if not len(open_):
-                break
-        return np.minimum(out, length)
+            open_, b = open_[same == self.per], b + 1
+        return np.minimum(out, query.size)
 
 
 class Shard:
@@ -157,16 +166,16 @@ class Shard:
     def __init__(self, items: Items, data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray):
         self.items, self.before = items, before
         doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
-        ids = np.zeros(len(start) + len(before) - 1 + items.suffix.shape[1] * 2 + 2, np.int64)
+        ids = np.zeros(len(start) + len(before) - 1 + (items.depth + items.per) * 2 + 2, np.int64)
         ids[np.arange(len(start)) + doc] = items.ids_of(data, start, end)
         self.array = SuffixArray(ids, items.bits, items.per, max(items.depth, 1))
 
     def longest(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each item suffix, the length of its longest match and the word (counted with one end mark a document) where it begins."""
-        keys = self.items.keys(self.items.suffix)
-        slot = self.array.place(keys)
-        above = self.array.common(keys, self.items.length, slot - 1)
-        below = self.array.common(keys, self.items.length, slot)
+        query = Query(self.items, np.arange(len(self.items.length)), self.items.length)
+        slot = self.array.place(query)
+        above = self.array.common(query, slot - 1)
+        below = self.array.common(query, slot)
         best = np.where(above > below, slot - 1, slot)
         size = np.maximum(above, below)
         at = np.where(size > 0, self.array.sa[np.clip(best, 0, max(0, len(self.array.sa) - 1))] if len(self.array.sa) else 0, 0)
@@ -182,28 +191,35 @@ class Shard:
         found = np.flatnonzero(size[it.window_of] >= it.window_size)
         if not len(found):
             return (np.zeros(0, np.int64),) * 3
-        ids = it.suffix[it.window_of[found]].copy()
-        ids[np.arange(ids.shape[1])[None, :] >= it.window_size[found][:, None]] = 0
-        lo = self.array.place(it.keys(ids))
-        ids[np.arange(ids.shape[1])[None, :] >= it.window_size[found][:, None]] = (1 << it.bits) - 1
-        hi = self.array.place(it.keys(ids), right=True)
+        at, size = it.window_of[found], it.window_size[found]
+        lo, hi = self.array.place(Query(it, at, size)), self.array.place(Query(it, at, size, high=True))
         n = hi - lo
         slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.array.sa[slot], np.repeat(it.window_size[found], n), np.repeat(it.window_item[found], n)
 
 
+def _forget(block) -> None:
+    """Drop a broadcast's value; it is read again from its file when it is asked for."""
+    block.__dict__.pop("_value", None)
+
+
 def blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     """Broadcasts of the benchmark's items; the driver holds one block at a time."""
     sc, out, rows, size = benchmark.sparkSession.sparkContext, [], [], 0
+
+    def send():
+        out.append(sc.broadcast(Items(rows, window)))
+        _forget(out[-1])
+
     for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         text = (r.text or "").encode()
         if rows and size + len(text) > block_bytes:
-            out.append(sc.broadcast(Items(rows, window)))
+            send()
             rows, size = [], 0
         rows.append((r.item_id or "", text))
         size += len(text)
     if rows:
-        out.append(sc.broadcast(Items(rows, window)))
+        send()
     return out
 
 
@@ -229,6 +245,8 @@ def _search(parts: list, data: np.ndarray, offsets: np.ndarray):
         both = np.unique(shard.document(at) * len(items.names) + item)
         for d, i in zip((both // len(items.names)).tolist(), (both % len(items.names)).tolist(), strict=True):
             names.setdefault(d, set()).add(items.names[i])
+        if len(parts) > 1:
+            _forget(p)
     hit = np.r_[0, np.cumsum(np.cumsum(marks)[:-1] > 0)]
     edge = before + np.arange(n + 1)
     return n_words, hit[edge[1:]] - hit[edge[:-1]], names, longest
@@ -263,6 +281,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
             data, offsets = text_column(b)
             keep = [_search(parts, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1] == 0 for i, j in slices(offsets, SLICE_BYTES)]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 

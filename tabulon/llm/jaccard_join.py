@@ -34,13 +34,15 @@ result; other columns are not read.  Rows are told apart by their file and place
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, NOT_SPACE, U64, mix, prefix_hash, range_hash, release, slices, text_column, words
-from .common import kept, lacking, numbered, partitions, scanned, small_batches
+from .common import kept, lacking, numbered, partitions, rest, scanned, small_batches
 from .components import components
 from .sides import PART_BITS, Side, by_part
 
@@ -140,7 +142,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch(cols, [x.split()[0] for x in SETS.split(", ")])
             release()
 
-    return docs.select("doc_id", "uid", "text").mapInArrow(run, SETS)
+    return kept(docs.select("doc_id", "uid", "text"), "sets", run, SETS)
 
 
 def _segments(docs: DataFrame, nodes: str, buckets: int) -> DataFrame:
@@ -285,7 +287,7 @@ def _groups(packed: DataFrame, buckets: int, hot: int) -> DataFrame:
             yield from solve(rows)
         release()
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
+    return kept(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), "groups", run, GROUPS)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
@@ -307,7 +309,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
                     yield pa.record_batch([pa.array([node[k] for k in pick[i:j]], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "members"])
             release()
 
-    return docs.select("uid", "text").mapInArrow(run, "node long, members binary")
+    return kept(docs.select("uid", "text"), f"{name}-sets", run, "node long, members binary")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
@@ -340,7 +342,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> D
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
             release()
 
-    return docs.select("uid", "text").mapInArrow(run, "a long, b long")
+    return kept(docs.select("uid", "text"), f"{name}-links", run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -354,12 +356,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) ->
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    left = kept(joined.mapInArrow(near, "a long, b long"), f"{name}-near")
+    left = kept(joined, f"{name}-near", near, "a long, b long")
     where = nodes.select("node", "uid")
     wanted = left.select(F.col("a").alias("node")).distinct().join(where, "node").select("uid", "node")
-    sets = kept(_sets_of(docs, wanted, name), f"{name}-sets")
+    sets = _sets_of(docs, wanted, name)
     asked = left.join(where.select(F.col("node").alias("b"), "uid"), "b").select("uid", "a", "b")
-    return kept(_checked(docs, asked, sets, name), f"{name}-links")
+    return _checked(docs, asked, sets, name)
 
 
 def _weak_links(docs: DataFrame, weak: DataFrame, block_bytes: int = 16 << 20) -> DataFrame | None:
@@ -472,20 +474,37 @@ def _hot_links(docs: DataFrame, warm: DataFrame, labels: DataFrame, nodes: DataF
     cluster = components(edges, "clusters").select("node", F.col("label").alias("cluster"))
     members = m.select("node", "label").distinct().join(cluster, "node").join(nodes.select("node", "uid", "n"), "node")
     members = kept(members, "clustered")
-    sets = kept(_sets_of(docs, members, "hot"), "hot-sets")
+    sets = _sets_of(docs, members, "hot")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))
     rows = members.join(sizes, "cluster").withColumn("home", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "node", "label", "home").join(sets, "node")
 
-    def solve(t: pa.Table) -> pa.Table:
-        found = [np.frombuffer(x.as_buffer(), U64) for x in t.column("members")]
+    def solve(found):
+        t = pa.Table.from_batches(found)
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in t.column("members")]
         node, label, home = (np.asarray(t.column(c)) for c in ("node", "label", "home"))
-        out = _Block(node, label, home, found).joined(across=t.column("i")[0].as_py() != t.column("j")[0].as_py())
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ()))], ["a", "b"])
+        out = _Block(node, label, home, sets).joined(across=t.column("i")[0].as_py() != t.column("j")[0].as_py())
+        release()
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), ()))], ["a", "b"])
+
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(b.schema.get_field_index(c))) for c in ("cluster", "i", "j")], 1)
+            edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1), True]) if len(keys) else np.zeros(0, int)
+            for a, z in itertools.pairwise(edges.tolist()):
+                key = tuple(keys[a])
+                if held and key != last:
+                    yield solve(held)
+                    held = []
+                last = key
+                held.append(b.slice(a, z - a))
+        if held:
+            yield solve(held)
 
     n = partitions(docs.sparkSession, members.count(), 2_000)
-    return rows.repartition(n, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long")
+    return kept(rows.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), "hot-links", run, "a long, b long")
 
 
 def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> DataFrame:
@@ -493,12 +512,12 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     spark = docs.sparkSession
     small_batches(spark)
     rows = numbered(scanned(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = kept(_sets(rows), "sets")
+    sets = _sets(rows)
     nodes = kept(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
     first = by_part(nodes.select("uid"), "firsts")
-    found = kept(_groups(_segments(rows, first, buckets), buckets, hot), "groups")
+    found = _groups(_segments(rows, first, buckets), buckets, hot)
     links_found = []
 
     most = F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))
@@ -528,11 +547,12 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     links_found.append(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), labels), nodes, rows, "second"))
     labels = _labels(links_found)
     cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n").distinct()
-    links_found.append(kept(_hot_links(rows, warm, labels, nodes), "hot-links"))
+    links_found.append(_hot_links(rows, warm, labels, nodes))
     labels = _labels(links_found)
-    rest = kept(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
-    links_found.append(_verified(rest, nodes, rows, "third"))
+    left = kept(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "left")
+    links_found.append(_verified(left, nodes, rows, "third"))
     labels = _labels(links_found)
+    rest(spark)
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")
@@ -545,6 +565,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     out = join(docs, **how)
     first = out.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("node")).alias("_o")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_z"), "doc_id", "uid")).alias("f")).select("f.uid")
     path = by_part(first.unionByName(out.where("n_shingles = 0").select("uid")), "kept")
+    rest(docs.sparkSession)
     name = lacking(docs, "_uid")
 
     def run(batches):

@@ -16,7 +16,7 @@ grows with the rows, then rows in a bucket, so a source of any share is spread o
 tasks.  Only one row for each source meets in one task.
 
 Null and empty texts have size 0 and are taken 0 times; a source without words has
-target 0; null ids sort first; equal rows tie and give equal results up to which of them is
+target 0; rows with null ids are placed by their text; columns whose names clash stay as they are; equal rows tie and give equal results up to which of them is
 read first; an empty table gives an empty result.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lacking, numbered, scanned, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (progress, weight): early-heavy, even, late-heavy.
@@ -73,7 +73,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
     """Every row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, place (words of its source before it), rank and uid."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ids = F.col("doc_id").cast("long")
-    sized = table(docs.select(ids.alias("doc_id"), source_key().alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce(ids.cast("string"), F.lit(""))).alias("_h"), F.xxhash64(text).alias("_x"), F.monotonically_increasing_id().alias("uid")), "sizes")
+    sized = table(numbered(scanned(docs), ids.alias("doc_id"), source_key().alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.md5(F.coalesce(ids.cast("string"), F.concat(F.lit("null "), text))).alias("_h"), F.xxhash64(text).alias("_x")), "sizes")
     n = sized.count()
     digits = 0
     while 16**digits * rows_per_bucket < n:
@@ -115,13 +115,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as training reads them: each as often as it is taken, range-sorted by position, columns as they are.
 
-    Rows that the mix takes no word of are left out.  Rows are told apart by their place in
-    docs, which must be a table scan or a written table, so that it reads alike each time.
+    Rows that the mix takes no word of are left out.  Rows are told apart by their file and place in it.
     """
+    docs = scanned(docs)
+    uid, at = lacking(docs, "_mix_uid"), lacking(docs, "_mix_at")
     rows = plan(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.select(F.col("uid").alias("_mix_uid"), position(F.col("_copy")).alias("_mix_at"))
-    keyed = docs.withColumn("_mix_uid", F.monotonically_increasing_id())
-    return keyed.join(rows, "_mix_uid").orderBy("_mix_at", "_mix_uid").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.select(F.col("uid").alias(uid), position(F.col("_copy")).alias(at))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return numbered(docs, *columns, name=uid).join(rows, uid).orderBy(at, uid).select(*columns)
 
 
 def oracle_sql(weights: tuple[int, ...] = (5, 2, 1), most: int = 3, schedules=SCHEDULES) -> str:

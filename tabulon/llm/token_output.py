@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, text_column
-from .common import SLICE_BYTES, partitions, scratch, small_batches
+from .common import SLICE_BYTES, partitions, rest, scratch, small_batches
 from .tokens import ids_bytes, worker_encoder
 
 SHARD = "part int, shard int, start long, n_ids long, base long, doc_ids binary, doc_nulls binary, symbols_before binary, rules binary, lengths binary, symbols binary"
@@ -160,6 +160,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int =
                 yield pa.record_batch([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
                 shard, start = shard + 1, start + len(ids)
 
+    rest(spark)
     rows = docs.count()
     if as_written:
         # scans deal files out by size; their names hold the number of the part that wrote them
@@ -172,6 +173,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int =
     n = partitions(spark, rows, rows_per_partition)
     ordered = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(out)
+    rest(spark)
     return out
 
 

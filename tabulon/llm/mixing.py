@@ -22,10 +22,13 @@ read first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lacking, numbered, scanned, table
+from .common import lacking, numbered, partitions, rest, scanned, small_batches, table
+from .sides import Side, by_part
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Knots (progress, weight): early-heavy, even, late-heavy.
@@ -115,14 +118,38 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as training reads them: each as often as it is taken, range-sorted by position, columns as they are.
 
-    Rows that the mix takes no word of are left out.  Rows are told apart by their file and place in it.
+    Rows that the mix takes no word of are left out.  Rows are told apart by their file and place in it, and get
+    their positions where they lie; as positions are shares of the training, the range sort needs no sample:
+    a row's partition is the part of the training that it falls into.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = scanned(docs)
     uid, at = lacking(docs, "_mix_uid"), lacking(docs, "_mix_at")
-    rows = plan(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    rows = rows.select(F.col("uid").alias(uid), position(F.col("_copy")).alias(at))
+    placed = plan(docs, **how).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    path = by_part(placed.select("uid", position(F.col("_copy")).alias("at")), "positions")
+    rest(spark)
+
+    def run(batches):
+        side = Side(path)
+        for b in batches:
+            for part in side.parts(b):
+                rows = part.rows("uid")
+                if not rows:
+                    continue
+                places = part.tables[0].column("at").to_numpy()
+                found = [(k, places[r]) for k, u in enumerate(part.uid) for r in rows.get(u, ())]
+                if found:
+                    k, x = zip(*found, strict=True)
+                    taken = part.batch.take(pa.array(k))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.float64)), *taken.columns], [at, *taken.schema.names])
+
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return numbered(docs, *columns, name=uid).join(rows, uid).orderBy(at, uid).select(*columns)
+    rows = numbered(docs, *columns, name=uid).select(uid, *columns)
+    schema = ", ".join([f"`{at}` double", *(f"`{k}` {t}" for k, t in rows.dtypes)])
+    n = partitions(spark, docs.count(), 8_000)
+    placed = rows.mapInArrow(run, schema).repartitionById(n, F.least(F.floor(F.col(at) * n), F.lit(n - 1)).cast("int"))
+    return placed.sortWithinPartitions(at, uid).select(*columns)
 
 
 def oracle_sql(weights: tuple[int, ...] = (5, 2, 1), most: int = 3, schedules=SCHEDULES) -> str:

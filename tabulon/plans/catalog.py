@@ -124,9 +124,14 @@ def sort_rank_asc(spark, sf_dir):
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Rows with their place in a sorted result: the number within each partition and the sizes of those before it."""
+    """Rows with their place in a sorted result: the number within each partition and the sizes of those before it.
+
+    The sorted rows are written once: sorted again, they might be cut into other partitions.
+    """
     spark = rows.sparkSession
-    marked = rows.withColumn("_m", F.monotonically_increasing_id())
+    path = scratch_dir(spark, "placed")
+    rows.withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    marked = spark.read.parquet(path)
     parts = marked.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
     before, total = {}, 0
     for r in parts:

@@ -1,15 +1,16 @@
 r"""Personal data by weak supervision, in DataFrame functions alone.
 
 Base spans come from one pattern for each kind (leftmost, not overlapping; a match that
-fails its check is dropped).  Looser patterns add candidates in the rest of the text.  Three
-labelers vote on every candidate: its shape (regex), a gazetteer (area codes, mail domains,
+fails its check is dropped).  Looser patterns add candidates in the rest of the text, among
+them a fifth kind, ``secret``: a run of 20 to 200 letters and digits after a word such as token or
+password, or with an issuer's prefix.  Three labelers vote on every candidate: its shape (regex), a gazetteer (area codes, mail domains,
 address ranges, card issuers) and the words around it (context); a vote is for, against or
 none.  Expectation-maximisation over the counts of the vote patterns estimates each
 labeler's reliability and the share of true spans of each kind; its posteriors then train a
-logistic classifier on votes and length, which decides on the added candidates.  Base spans
+logistic classifier on votes, length and the variety of characters, which decides on the added candidates.  Base spans
 always stay.
 
-The counts of vote patterns are one aggregate of at most ``kinds * 27 * lengths`` rows; only these
+The counts of vote patterns are one aggregate of at most ``kinds * 27 * lengths * varieties`` rows; only these
 reach the driver.  Positions are code points, end exclusive; they are prefix sums over
 the pieces between matches, in blocks, so a text with very many matches costs no square.
 
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds in the order of the result: the base ones, then the one that only candidates have.
+ALL_KINDS = (*KINDS, "secret")
+#: How issued keys begin.
+_ISSUED = r"^(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|ghu_|github_pat_|glpat-|sk-|sk_live_|sk_test_|xoxb-|xoxp-|eyJ|hf_|npm_)"
 _JOIN, _FREE = "\ue002", "\ue003"
 #: The base patterns, over the prepared text of each kind.
 PATTERNS = {
@@ -44,11 +49,13 @@ LOOSE = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,24}+",
     "phone": r"(?<![0-9A-Za-z.+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z.-])[0-9]{4}(?:\.[0-9]{4}){3}(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+",
 }
 SHAPE = {
     "email": r"^[A-Za-z0-9._%+-]{2,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$",
     "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
     "card": r"^[0-9]{4}([ -]?[0-9]{4}){3}$",
+    "secret": r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$|^(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z]).{20,}$",
     "phone": r"^\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}$|^\+[0-9]{1,3}[ .-]?[0-9() .-]{7,14}$|^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$",
 }
 #: Gazetteers as patterns: (for, against).
@@ -56,17 +63,22 @@ GAZETTEER = {
     "email": (r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", r"(?i)\.(?:png|jpg|gif|js|css|html?)$"),
     "ip": (r"^(?:10|127|169|172|192|1[0-9]{2}|2[0-4][0-9]|[2-9][0-9])\.", r"^0*[0-9]\.0*[0-9]\.0*[0-9]\."),
     "card": (r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)", r"^(?:0|9)"),
+    "secret": (_ISSUED, r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^(?:/[a-z0-9_-]+)+$"),
     "phone": (r"^\(?(?:\+1|\+44|\+49|\+33|\+34|[2-9][0-9]{2})", r"^\(?[01]{3}"),
 }
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|address)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|login)\b",
     "card": r"(?i)\b(?:card|visa|payment|credit|account)\b",
+    "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?|bearer)",
     "phone": r"(?i)\b(?:tel|phone|call|fax|mobile|contact)\b",
 }
 _AGAINST = r"(?i)\b(?:version|section|figure|isbn|order|invoice|serial)\b"
 _BLOCK = 512
 _LENGTHS = (9, 14, 20)
+_VARIETIES = (5, 10)
+#: Letters and digits of a secret, at most.
+_SECRET_LENGTH = 200
 
 
 def _prefix(values: Column, start: Column) -> Column:
@@ -151,27 +163,35 @@ def _labelled(column: str, kind: str, base: bool) -> Column:
         votes = _vote(x, kind)
         n = F.length(x["text"])
         size = F.when(n <= _LENGTHS[0], 0).when(n <= _LENGTHS[1], 1).when(n <= _LENGTHS[2], 2).otherwise(3)
-        key = F.concat_ws("|", F.lit(kind), *(v.cast("string") for v in votes), size.cast("string"))
+        different = F.size(F.array_distinct(F.split(x["text"], "")))
+        variety = F.when(different <= _VARIETIES[0], 0).when(different <= _VARIETIES[1], 1).otherwise(2)
+        key = F.concat_ws("|", F.lit(kind), *(v.cast("string") for v in votes), size.cast("string"), variety.cast("string"))
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), key.alias("key"))
 
     return F.transform(column, one)
 
 
+def _secret(x: Column) -> Column:
+    """Whether a run may be a secret: letters and digits, not too long, after a cue or issued."""
+    mixed = x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & (F.length(x["text"]) <= _SECRET_LENGTH)
+    return mixed & (x["left"].rlike(CUES["secret"]) | x["text"].rlike(_ISSUED))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base spans in _base, and all candidates with vote keys in _all, of every row of docs."""
     t = F.coalesce(F.col("text"), F.lit(""))
     df = base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("_t")))
-    some = {"email": F.col("_t").rlike(r"(?i)[\[(]at[\])]"), "phone": F.col("_t").rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), "card": F.col("_t").rlike(r"[0-9]{4}\.[0-9]{4}\.")}
+    some = {"email": F.col("_t").rlike(r"(?i)[\[(]at[\])]"), "phone": F.col("_t").rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), "card": F.col("_t").rlike(r"[0-9]{4}\.[0-9]{4}\."), "secret": F.col("_t").rlike("[A-Za-z0-9_+/-]{20,}+")}
     for k, pattern in LOOSE.items():
         df = _located(df, F.col("_t"), pattern, some[k], f"_more_{k}")
-        df = df.withColumn(f"_more_{k}", F.filter(f"_more_{k}", lambda x: ~_overlaps(x)))
+        df = df.withColumn(f"_more_{k}", F.filter(f"_more_{k}", lambda x: ~_overlaps(x) & (_secret(x) if k == "secret" else F.lit(True))))
     base = F.concat(*(_labelled(f"_{k}", k, True) for k in KINDS))
     more = F.concat(*(_labelled(f"_more_{k}", k, False) for k in LOOSE))
     return df.select("doc_id", base.alias("_base"), more.alias("_more"))
 
 
 def estimate(counts: dict[str, int], rounds: int = 30) -> tuple[dict[str, float], dict[str, dict]]:
-    """EM over the counts of keys (kind|shape|listed|context|size): the posterior of each key, and each kind's prior and labeler reliabilities."""
+    """EM over the counts of keys (kind|shape|listed|context|size|variety): the posterior of each key, and each kind's prior and labeler reliabilities."""
     posterior: dict[str, float] = {}
     models = {}
     for kind in sorted({k.split("|")[0] for k in counts}):
@@ -193,11 +213,11 @@ def estimate(counts: dict[str, int], rounds: int = 30) -> tuple[dict[str, float]
 
 
 def train(counts: dict[str, int], posterior: dict[str, float], rounds: int = 300, rate: float = 0.5) -> dict[str, float]:
-    """The final span classifier: a logistic model on votes and length, trained on the posteriors; its probability of each key."""
+    """The final span classifier: a logistic model on votes, length and variety, trained on the posteriors; its probability of each key."""
 
     def inputs(key: str) -> dict[str, float]:
-        kind, shape, listed, context, size = key.split("|")
-        return {"one": 1.0, f"kind={kind}": 1.0, f"shape={shape}": 1.0, f"listed={listed}": 1.0, f"context={context}": 1.0, f"size={size}": 1.0}
+        named = zip(("kind", "shape", "listed", "context", "size", "variety"), key.split("|"), strict=False)
+        return {"one": 1.0, **{f"{name}={value}": 1.0 for name, value in named}}
 
     w: dict[str, float] = {}
     total = sum(counts.values()) or 1
@@ -221,7 +241,7 @@ def _joined(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """doc_id, the numbers of base spans by kind, base_sha256, spans (joined), found (array of kind, start, end, base and probability) of every row of docs."""
+    """doc_id, the numbers of base spans by kind, base_sha256, spans (joined), n_added (spans beside the base ones), n_secret, private (whether there is any span), found (array of kind, start, end, base and probability) of every row of docs."""
     rows = table(candidates(docs), "pii")
     both = rows.select(F.explode(F.concat("_base", "_more")["key"]).alias("key"))
     counts = {r.key: r.n for r in both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -229,8 +249,8 @@ def detect(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     sure = train(counts, posterior)
     known = F.create_map(*(c for k in sorted(sure) for c in (F.lit(k), F.lit(sure[k])))) if sure else F.lit(None).cast("map<string, double>")
     scored = F.transform(F.concat("_base", "_more"), lambda x: x.withField("p", F.coalesce(F.element_at(known, x["key"]), F.lit(0.0))))
-    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(F.element_at(F.create_map(*(c for i, k in enumerate(KINDS) for c in (F.lit(k), F.lit(i)))), x["kind"]).alias("k"), x["start"].alias("s"), x.alias("x")))), lambda y: y["x"])
+    order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(F.element_at(F.create_map(*(c for i, k in enumerate(ALL_KINDS) for c in (F.lit(k), F.lit(i)))), x["kind"]).alias("k"), x["start"].alias("s"), x.alias("x")))), lambda y: y["x"])
     rows = rows.withColumn("_kept", order(F.filter(scored, lambda x: x["base"] | (x["p"] >= accept))))
     is_kind = lambda k: lambda x: x["kind"] == k
     n = [F.size(F.filter("_base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *n, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_kept")).alias("spans"), F.col("_kept").alias("found"))
+    return rows.select("doc_id", *n, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_kept")).alias("spans"), F.size(F.filter("_kept", lambda x: ~x["base"])).cast("long").alias("n_added"), F.size(F.filter("_kept", is_kind("secret"))).cast("long").alias("n_secret"), (F.size("_kept") > 0).alias("private"), F.col("_kept").alias("found"))

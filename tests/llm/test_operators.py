@@ -71,6 +71,27 @@ def test_personal_method_adds_spans(spark, odd, none):
     assert pii.detect(odd).count() == len(H.ODD) and pii.detect(none).count() == 0
 
 
+def test_personal_secrets(spark):
+    key = "4dbebab91ab85687d33eeaaf9ac699e1188f9620"
+    texts = [
+        f'Thstorti token = "{key}" thhantou',
+        f"TOKEN={key.upper()}",
+        f"é api_key: AKIA{key[:16].upper()}; password = {key[:18]}",
+        f"the commit {key} of a file",
+        f"mail a@b.cc, secret {key}, token {'x' * 30} token {'9' * 30}",
+        "token " + "a1" * 200,
+        "token",
+        "",
+        None,
+    ]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    secrets = lambda k: [texts[k][x.start : x.end] for x in got[k].found if x.kind == "secret"]
+    assert [secrets(k) for k in range(9)] == [[key], [key.upper()], [f"AKIA{key[:16].upper()}"], [], [key], [], [], [], []]
+    assert [got[k].n_secret for k in range(9)] == [1, 1, 1, 0, 1, 0, 0, 0, 0]
+    assert got[4].spans.startswith("email:5:11,secret:") and got[4].n_added == 1 and got[4].private
+    assert not got[3].private and not got[8].private
+
+
 def test_estimation_trusts_agreeing_labelers():
     counts = {"phone|1|1|1|2": 80, "phone|1|1|0|2": 40, "phone|-1|-1|-1|2": 60, "phone|-1|1|0|2": 5, "phone|1|-1|0|2": 3}
     posterior, models = pii.estimate(counts)

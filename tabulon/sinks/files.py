@@ -6,6 +6,7 @@ target paths and renames.  On failure the staging folder stays.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -213,6 +214,19 @@ def _footer_rows(path: str) -> int:
         return pq.read_metadata(f).num_rows
 
 
+def _keyed(df: DataFrame, by: list[str], hashed=F.xxhash64) -> tuple[DataFrame, dict[int, tuple]]:
+    """df with the number of each row's partition in __key, and the values behind the numbers.  Numbers that two partitions share are made anew."""
+    keys = [named(c) for c in by]
+    texts = [F.coalesce(F.concat(F.lit("v"), k.cast("string")), F.lit("n")) for k in keys]
+    distinct = df.select(*keys).distinct()
+    for salt in itertools.count():
+        mark = hashed(*texts, *[F.lit(salt)] * bool(salt))
+        found = distinct.withColumn("__key", mark).collect()
+        values = {r["__key"]: tuple(r[c] for c in by) for r in found}
+        if len(values) == len(found):
+            return df.withColumn("__key", mark), values
+
+
 def write_partitioned(df: DataFrame, template: str, by: list[str], options, strategy: str = "sort-single", sort: SortSpec | None = None, excluded: list[str] | None = None, overwrite: bool = False, create_dirs: bool = True, cap: int = 100) -> list[OutputFile]:
     """One file for each value of the partition columns (with nosort-evict, one or more).
 
@@ -230,9 +244,10 @@ def write_partitioned(df: DataFrame, template: str, by: list[str], options, stra
         options.check(schema)
         decided = plan_columns(kept, options)
     keys = [named(c) for c in by]
-    mark = F.xxhash64(*[F.coalesce(F.concat(F.lit("v"), k.cast("string")), F.lit("n")) for k in keys])
     spec = sort or SortSpec()
-    rows = df.withColumn("__key", mark)
+    rows, values = _keyed(df, by)
+    if not values:
+        return []
     if strategy == "sort-single":
         dealt = rows.repartition(*keys).sortWithinPartitions("__key", *order(spec.without(by)))
     elif strategy == "nosort-multi":
@@ -243,9 +258,6 @@ def write_partitioned(df: DataFrame, template: str, by: list[str], options, stra
         dealt = rows.repartition(*keys).sortWithinPartitions(*order(spec))
     if strategy == "nosort-evict" and spec.columns:
         dealt = dealt.sortWithinPartitions(*order(spec))
-    values = {r["__key"]: tuple(r[c] for c in by) for r in rows.select("__key", *keys).distinct().collect()}
-    if not values:
-        return []
     probe = t.resolve(dict(zip(by, next(iter(values.values())), strict=True)))
     base = template.partition("{{")[0].rpartition("/")[0] or probe.rpartition("/")[0] or "."
     if not files.exists(base):

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 
-from ..errors import OptionError
+from ..errors import OptionError, Unsupported
 from ..plans import types as T
 from ..plans.decisions import Columns, Decision
 from ..plans.options import SortSpec
@@ -65,6 +65,8 @@ class ParquetOptions:
                     raise OptionError(f"column '{leaf.name}': {problem}")
             if self.encoding and not any(leaf.under(p) for p in self.column_encodings) and (problem := T.encoding_problem(self.encoding, leaf.type)):
                 raise OptionError(f"column '{leaf.name}': {problem}")
+        if self.needs_pyarrow and c.bloom and (c.bloom.on or c.bloom.everywhere and c.bloom.everywhere.ndv):
+            raise Unsupported("bloom filters that are asked for by column or size cannot be written together with sort metadata, encodings, an offset index, an Arrow schema, key/value metadata, page statistics or brotli")
         for n, _ in self.sorted_by.columns if self.sorted_by else ():
             if n not in schema.names:
                 raise OptionError(f"sorted column '{n}' is not in the output")

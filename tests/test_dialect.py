@@ -18,6 +18,7 @@ from tabulon.operators import core
         ("SELECT * EXCLUDE (a) FROM data", "SELECT * EXCEPT ( a ) FROM data"),
         ("SELECT approx_distinct(a), unnest(b), to_hex(c) FROM data", "SELECT approx_count_distinct ( a ) , explode ( b ) , lower ( hex ( c ) ) FROM data"),
         ("SELECT 'unnest(x) \"y\"' AS s -- strpos(a)\nFROM data", "SELECT 'unnest(x) \"y\"' AS s FROM data"),
+        ("SELECT log(a), log(2, a), ln(a) FROM data", "SELECT log10 ( a ) , log ( 2 , a ) , ln ( a ) FROM data"),
         ('SELECT "A b" FROM data;', "SELECT `A b` FROM data"),
     ],
 )

@@ -231,3 +231,20 @@ def test_cli(spark, regions, tmp_path, capsys):
     assert cli.main(["inspect", "identify", f"{tmp_path}/m.arrow"]) == 0
     assert json.loads(capsys.readouterr().out.rpartition("}{")[2] or "{}") is not None
     assert not glob.glob(f"{tmp_path}/**/.tabulon*", recursive=True)
+
+
+def test_bloom_filters_that_cannot_be_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k long, s string")
+    options = ParquetOptions("zstd", columns=Columns(bloom=BloomConfig(None, {"s": Bloom(0.01, 10)})), offset_index=True)
+    with pytest.raises(Unsupported):
+        sinks.write_single(df, f"{tmp_path}/x.parquet", options)
+    assert not os.path.exists(f"{tmp_path}/x.parquet")
+    sinks.write_single(df, f"{tmp_path}/x.parquet", ParquetOptions("zstd", offset_index=True))
+
+
+def test_partitions_of_one_hash(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "k string, v long")
+    clash = lambda *c: F.when(F.lit(len(c) > 1), F.xxhash64(*c)).otherwise(F.lit(7).cast("long"))
+    rows, values = sinks._keyed(df, ["k"], clash)
+    assert set(values.values()) == {(None,), ("a",), ("b",)}
+    assert {r.v: values[r["__key"]] for r in rows.collect()} == {1: ("a",), 2: ("b",), 3: ("b",), 4: (None,)}

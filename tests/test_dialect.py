@@ -26,7 +26,7 @@ def test_rewrite(text, want):
     assert " ".join(rewrite(text).split()) == want
 
 
-@pytest.mark.parametrize("text", ["SELECT a FROM data QUALIFY row_number() OVER () = 1", "SELECT date_bin(a, b) FROM data", "SELECT sum(a) OVER (ORDER BY b GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM data", "SELECT digest(a, 'md5') FROM data", "SELECT arrow_cast(a, 'Weird') FROM data"])
+@pytest.mark.parametrize("text", ["SELECT DISTINCT a FROM data QUALIFY row_number() OVER () = 1", "SELECT date_bin(INTERVAL '1 month', b) FROM data", "SELECT to_char(a, '%Q') FROM data", "SELECT s ~* t FROM data", "SELECT a[1:2] FROM data", "SELECT array_slice(a, 1, 3, 2) FROM data", "SELECT sum(a) OVER (ORDER BY b GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM data", "SELECT digest(a, 'md5') FROM data", "SELECT arrow_cast(a, 'Weird') FROM data"])
 def test_unsupported(text):
     with pytest.raises(Unsupported):
         rewrite(text)
@@ -51,3 +51,27 @@ def test_runs(spark):
     assert sorted(r.value for r in core.query(df, "SELECT g.value FROM generate_series(1, 3) g").collect()) == [1, 2, 3]
     assert core.query(df, "SELECT string_to_array(coalesce(name, 'x.y'), '.') AS p FROM data WHERE id = 2").first().p == ["x", "y"]
     assert core.query(df, "SELECT sha256('a') AS h, starts_with('abc', 'ab') AS s FROM data LIMIT 1").first().s
+
+
+def test_forms_of_the_other_engine(spark):
+    df = spark.createDataFrame([(1, "ab-12", [5, 6, 7]), (2, "x", []), (3, None, None)], "id int, s string, a array<int>").coalesce(1)
+    one = lambda sql: [tuple(r) for r in core.query(df, sql).collect()]
+    assert one("SELECT [1, 2] AS x, id // 2 AS h, a[1] AS f FROM data ORDER BY id") == [([1, 2], 0, 5), ([1, 2], 1, None), ([1, 2], 1, None)]
+    assert one("SELECT array_slice(a, 2, 3) AS x, array_slice(a, -2, -1) AS y, array_slice(a, 2, -1) AS z, array_slice(a, 3, 1) AS w, array_slice(a, 0, 2) AS v FROM data WHERE id = 1") == [([6, 7], [6, 7], [6, 7], [], [5, 6])]
+    assert one("SELECT id FROM data WHERE s ~ '^ab' OR s ~* '^X'") == [(1,), (2,)]
+    assert one("SELECT id FROM data WHERE s !~ 'ab'") == [(2,)]
+    assert one("SELECT regexp_match(s, '([a-z]+)-([0-9]+)') AS m, regexp_match(s, 'b.1') AS w FROM data ORDER BY id") == [(["ab", "12"], ["b-1"]), (None, None), (None, None)]
+    assert one("SELECT struct_pack(x := id, y := s).y AS y, to_char(DATE '2024-03-05', 'on %Y/%m/%d at %H') AS d FROM data WHERE id = 1") == [("ab-12", "on 2024/03/05 at 00")]
+    assert one("SELECT trunc(-1.75) AS t, trunc(1.239, 2) AS u FROM data WHERE id = 1") == [(-1.0, 1.23)]
+    assert one("SELECT map_extract(make_map(['a'], [1]), 'a') AS m, map_extract(make_map(['a'], [1]), 'b') AS n FROM data WHERE id = 1") == [([1], [])]
+    assert one("SELECT CAST(date_bin(INTERVAL '15 minutes', TIMESTAMP '2024-01-01 10:29:59') AS STRING) AS b FROM data WHERE id = 1") == [("2024-01-01 10:15:00",)]
+    assert one("SELECT CAST(date_bin(INTERVAL '1 hour', TIMESTAMP '1969-12-31 23:10:00', TIMESTAMP '1970-01-01 00:30:00') AS STRING) AS b FROM data WHERE id = 1") == [("1969-12-31 22:30:00",)]
+
+
+def test_qualify(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id int, g string")
+    one = lambda sql: [tuple(r) for r in core.query(df, sql).collect()]
+    assert one("SELECT id FROM data QUALIFY row_number() OVER (PARTITION BY g ORDER BY id DESC) = 1 ORDER BY id") == [(2,), (3,)]
+    assert one("SELECT g, n FROM (SELECT g, row_number() OVER (PARTITION BY g ORDER BY id) AS n FROM data QUALIFY n = 2) x") == [("a", 2)]
+    assert one("WITH q AS (SELECT id FROM data QUALIFY rank() OVER (ORDER BY id) < 3) SELECT count(*) AS n FROM q") == [(2,)]
+    assert one("SELECT g, count(*) AS n FROM data GROUP BY g QUALIFY rank() OVER (ORDER BY count(*) DESC) = 1") == [("a", 2)]

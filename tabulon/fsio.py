@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 
+from .errors import OptionError
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -57,12 +61,50 @@ class Files:
         return sorted(str(x.getPath().toString()) for x in fs.listStatus(p) if x.isDirectory())
 
 
+    def glob(self, pattern: str) -> list[str]:
+        """Files that match a pattern of Hadoop's: * ? [...] {a,b}, within one folder level each."""
+        fs, p = self._at(pattern)
+        return sorted(self.full(x.getPath().toString()) for x in (fs.globStatus(p) or ()) if x.isFile())
+
+
+def remote(path: str) -> bool:
+    """Whether the path names a file system other than the local one."""
+    return "://" in path and not path.startswith("file:")
+
+
+def _store(path: str):
+    return arrow_fs.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file for reading, by path or URI."""
+    if not remote(path):
+        return open(local(path), "rb")
+    store, at = _store(path)
+    return store.open_input_file(at)
+
+
+def size(path: str) -> int:
+    """Bytes of a file; an error where there is none."""
+    if not remote(path):
+        return os.path.getsize(local(path))
+    store, at = _store(path)
+    found = store.get_file_info(at)
+    if found.type == arrow_fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    return found.size
+
+
 def local(path: str) -> str:
     """A file URI as a plain path; other paths as they are."""
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path where driver and executors can write: under spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder's path where driver and executors can write: under spark.checkpoint.dir, or, on a local master alone, a local one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise OptionError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return Files(spark).full(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")

@@ -5,19 +5,23 @@ from __future__ import annotations
 import glob as _glob
 import os
 import struct
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import OptionError, SchemaMismatch, Unsupported
+from ..fsio import Files, local, opened, remote, size
 from ..plans.types import leaves
 from .arrow_ipc import ArrowIpc, ParquetGroups
 
 _EXTENSIONS = {".arrow": "arrow", ".parquet": "parquet", ".vortex": "vortex"}
 #: Metadata of a stream message may not be larger.
 METADATA_LIMIT = 64 << 20
+#: Footers that the driver reads at once.
+FOOTER_THREADS = 16
 
 
 def detect_format(path: str, given: str | None = None) -> str:
@@ -29,28 +33,37 @@ def detect_format(path: str, given: str | None = None) -> str:
 
 
 def expand(patterns: list[str]) -> list[str]:
-    """Files of all patterns, sorted, each once.  A pattern without files is passed over if another has some."""
-    found = sorted({p for pattern in patterns for p in _glob.glob(pattern, recursive=True)})
+    """Files of all patterns, sorted, each once.  A pattern without files is passed over if another has some.
+
+    Patterns with a scheme are matched by Hadoop's file systems, plain ones on the local disk.
+    """
+    found = sorted({p for pattern in patterns for p in _matches(pattern)})
     if not found:
         raise FileNotFoundError(f"no files match {', '.join(patterns)}")
     return found
 
 
+def _matches(pattern: str) -> list[str]:
+    if not remote(pattern):
+        return _glob.glob(local(pattern), recursive=True)
+    return Files(SparkSession.active()).glob(pattern)
+
+
 def _messages(path: str):
     """(is a record batch, rows) of each message of an Arrow stream, bodies passed over."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         while True:
             head = f.read(4)
             if len(head) < 4:
                 return
-            size = struct.unpack("<i", head)[0]
-            if size == -1:
-                size = struct.unpack("<i", f.read(4))[0]
-            if size == 0:
+            length = struct.unpack("<i", head)[0]
+            if length == -1:
+                length = struct.unpack("<i", f.read(4))[0]
+            if length == 0:
                 return
-            if not 0 < size <= METADATA_LIMIT:
-                raise ValueError(f"{path}: message metadata of {size} bytes")
-            kind, rows, body = _message(f.read(size))
+            if not 0 < length <= METADATA_LIMIT:
+                raise ValueError(f"{path}: message metadata of {length} bytes")
+            kind, rows, body = _message(f.read(length))
             f.seek(body, os.SEEK_CUR)
             yield kind == 3, rows
 
@@ -83,11 +96,11 @@ def stream_rows(path: str) -> int:
 
 def file_rows(path: str) -> int:
     """Rows of an Arrow file from its footer and message headers; an unreadable block counts none."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(-10, os.SEEK_END)
-        size = struct.unpack("<i", f.read(4))[0]
-        f.seek(-10 - size, os.SEEK_END)
-        foot = f.read(size)
+        length = struct.unpack("<i", f.read(4))[0]
+        f.seek(-10 - length, os.SEEK_END)
+        foot = f.read(length)
         total = 0
         for at in _blocks(foot):
             try:
@@ -114,7 +127,7 @@ def _blocks(foot: bytes) -> list[int]:
 
 
 def is_arrow_file(path: str) -> bool:
-    with open(path, "rb") as f:
+    with opened(path) as f:
         return f.read(6) == b"ARROW1"
 
 
@@ -124,9 +137,8 @@ class Source:
     format = ""
 
     def __init__(self, path: str):
-        self.path = path
-        if not os.path.exists(path):
-            raise FileNotFoundError(path)
+        self.path = path if remote(path) else local(path)
+        size(self.path)  # an error where there is no file
 
     def schema(self) -> pa.Schema:
         raise NotImplementedError
@@ -141,15 +153,20 @@ class Source:
 class ParquetSource(Source):
     format = "parquet"
 
+    @cached_property
+    def meta(self) -> pq.FileMetaData:
+        with opened(self.path) as f:
+            return pq.read_metadata(f)
+
     def schema(self) -> pa.Schema:
-        return pq.read_schema(self.path)
+        return self.meta.schema.to_arrow_schema()
 
     def row_count(self) -> int:
-        return pq.read_metadata(self.path).num_rows
+        return self.meta.num_rows
 
     def spark_reads(self) -> bool:
         """Whether Spark's own reader takes the file: it knows neither half floats, nanoseconds, times nor byte-stream-split pages."""
-        m = pq.read_metadata(self.path)
+        m = self.meta
         split = any("BYTE_STREAM_SPLIT" in m.row_group(g).column(c).encodings for g in range(min(1, m.num_row_groups)) for c in range(m.num_columns))
         odd = lambda x: pa.types.is_float16(x) or pa.types.is_time(x) or (pa.types.is_timestamp(x) and x.unit == "ns")
         return not split and not any(odd(leaf.type) for leaf in leaves(self.schema()))
@@ -167,7 +184,7 @@ class ArrowSource(Source):
     format = "arrow"
 
     def schema(self) -> pa.Schema:
-        with open(self.path, "rb") as f:
+        with opened(self.path) as f:
             return (pa.ipc.open_file(f) if is_arrow_file(self.path) else pa.ipc.open_stream(f)).schema
 
     def row_count(self) -> int:
@@ -187,11 +204,12 @@ def open_source(path: str, given: str | None = None) -> Source:
 
 def same_schema(sources: list[Source]) -> pa.Schema:
     """The schema that all inputs share: names, types, order, nullability and metadata must be equal."""
-    first = sources[0].schema()
-    for s in sources[1:]:
-        if not s.schema().equals(first, check_metadata=True):
+    with ThreadPoolExecutor(FOOTER_THREADS) as pool:
+        found = list(pool.map(lambda s: s.schema(), sources))
+    for s, schema in zip(sources, found, strict=True):
+        if not schema.equals(found[0], check_metadata=True):
             raise SchemaMismatch(f"schema mismatch for input file {s.path}")
-    return first
+    return found[0]
 
 
 def total_rows(sources: list[Source]) -> int:
@@ -213,14 +231,15 @@ def scan(spark: SparkSession, sources: list[Source]) -> DataFrame:
 def mean_row_bytes(source: Source, rows: int = 100_000) -> float:
     """Bytes in memory of a row, on average over the first rows."""
     if isinstance(source, ParquetSource):
-        batches = pq.ParquetFile(source.path).iter_batches(8192)
+        read = lambda f: pq.ParquetFile(f).iter_batches(8192)
+    elif is_arrow_file(source.path):
+        read = lambda f: (lambda r: (r.get_batch(i) for i in range(r.num_record_batches)))(pa.ipc.open_file(f))
     else:
-        with open(source.path, "rb") as f:
-            reader = pa.ipc.open_file(f) if is_arrow_file(source.path) else pa.ipc.open_stream(f)
-            batches = iter([reader.get_batch(i) for i in range(min(reader.num_record_batches, 16))] if is_arrow_file(source.path) else list(reader))
-    seen = size = 0
-    for b in batches:
-        seen, size = seen + b.num_rows, size + b.nbytes
-        if seen >= rows:
-            break
-    return size / seen if seen else 0.0
+        read = pa.ipc.open_stream
+    seen = total = 0
+    with opened(source.path) as f:
+        for b in read(f):
+            seen, total = seen + b.num_rows, total + b.nbytes
+            if seen >= rows:
+                break
+    return total / seen if seen else 0.0

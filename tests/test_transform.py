@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabulon import cli
 from tabulon.errors import OptionError, OutputExists, PathCollision, SchemaMismatch, Unsupported
+from tabulon.fsio import Files
 from tabulon.operators import core
 from tabulon.plans import transform as tr
 from tabulon.plans.decisions import Columns
@@ -248,3 +249,15 @@ def test_partitions_of_one_hash(spark):
     rows, values = sinks._keyed(df, ["k"], clash)
     assert set(values.values()) == {(None,), ("a",), ("b",)}
     assert {r.v: values[r["__key"]] for r in rows.collect()} == {1: ("a",), 2: ("b",), 3: ("b",), 4: (None,)}
+
+
+def test_inputs_by_uri(spark, sf_dir, tmp_path):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").count()
+    for out in ("a.parquet", "b.parquet", "a.arrow"):
+        tr.run(spark, tr.Transform(source=f"file://{sf_dir}/nation.parquet", to=f"file://{tmp_path}/{out}"))
+    found = sources.expand([f"file://{tmp_path}/*.parquet"])
+    assert len(found) == 2 and sources.total_rows([sources.open_source(p) for p in found]) == 2 * n
+    assert sources.open_source(f"file://{tmp_path}/a.arrow").scan(spark).count() == n
+    assert [f.rpartition("/")[2] for f in Files(spark).glob(f"file://{tmp_path}/*.parquet")] == ["a.parquet", "b.parquet"]
+    with pytest.raises(FileNotFoundError):
+        sources.open_source(f"file://{tmp_path}/none.parquet")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,28 +12,15 @@ from ..operators import core
 from ..sinks import files as sinks
 from ..sinks.options import ArrowOptions, ParquetOptions
 from ..sources import files as sources
-from . import decisions
+from . import catalog_files, decisions, registry
 from .decisions import Columns
 from .options import SortSpec
 from .paths import OutputFile
+from .registry import Query
+from .registry import query as _query
+from .registry import table as _table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["catalog_files", "flagship", "oracle_sql", "queries"]
 
 
 def _sql(name: str, table: str, text: str, oracle: str | None = None, dialect: str = "duckdb") -> None:
@@ -113,6 +98,26 @@ _sql("full_join", "orders", "SELECT f.o_custkey AS a, p.o_custkey AS b FROM (SEL
 _sql("set_operations", "orders", "SELECT o_custkey FROM data WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM data WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM data WHERE o_orderstatus = 'P' UNION SELECT CAST(-1 AS BIGINT)")
 _sql("cte", "orders", "WITH big AS (SELECT * FROM data WHERE o_totalprice > 150000) SELECT o_orderstatus, COUNT(*) AS n FROM big GROUP BY o_orderstatus")
 _sql("from_first", "orders", "FROM data SELECT o_orderkey WHERE o_totalprice > 200000")
+_sql("right_join", "orders", "SELECT a.o_orderkey, b.k FROM (SELECT o_orderkey, o_custkey FROM data WHERE o_orderstatus = 'P') a RIGHT JOIN (SELECT DISTINCT o_custkey AS k FROM data) b ON a.o_custkey = b.k")
+_sql("natural_join", "orders", "SELECT * FROM (SELECT o_custkey, COUNT(*) AS n FROM data GROUP BY o_custkey) a NATURAL JOIN (SELECT o_custkey, MAX(o_totalprice) AS hi FROM data GROUP BY o_custkey) b")
+_sql("theta_join", "region", "SELECT a.r_name, b.r_name AS later FROM data a JOIN data b ON a.r_regionkey < b.r_regionkey")
+_sql("cross_join", "region", "SELECT a.r_name, b.r_name AS other FROM data a CROSS JOIN data b")
+_sql("lateral_join", "nation", "SELECT r.k, x.n, x.lo FROM (SELECT DISTINCT n_regionkey AS k FROM data) r, LATERAL (SELECT COUNT(*) AS n, MIN(n_name) AS lo FROM data s WHERE s.n_regionkey = r.k) x")
+_sql("query_ilike", "customer", "SELECT c_custkey FROM data WHERE c_mktsegment ILIKE 'build%'")
+_sql("grouping_rollup", "orders", "SELECT o_orderstatus, o_orderpriority, CAST(GROUPING(o_orderstatus) AS INT) AS g, COUNT(*) AS n FROM data GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_sql("regression", "lineitem", "SELECT l_returnflag, ROUND(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity), 6) AS q, ROUND(covar_pop(l_quantity, l_extendedprice), 1) AS cp, ROUND(covar_samp(l_quantity, l_extendedprice), 1) AS cs, ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS slope, ROUND(regr_r2(l_extendedprice, l_quantity), 8) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n FROM data GROUP BY l_returnflag")
+_sql("list_aggregates", "orders", "SELECT o_custkey, array_to_string(array_agg(o_orderstatus ORDER BY o_orderkey), ',') AS statuses, string_agg(o_orderpriority, '|' ORDER BY o_orderkey DESC) AS priorities FROM data GROUP BY o_custkey")
+_sql("window_range", "orders", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 10000 PRECEDING AND 5000 FOLLOWING) AS near, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS month FROM data")
+_sql("window_values", "orders", "SELECT o_orderkey, last_value(o_orderkey) OVER w AS z, nth_value(o_orderkey, 2) OVER w AS second, lag(NULLIF(o_orderstatus, 'P')) IGNORE NULLS OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS known FROM data WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "SELECT o_orderkey, last_value(o_orderkey) OVER w AS z, nth_value(o_orderkey, 2) OVER w AS second, lag(NULLIF(o_orderstatus, 'P') IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS known FROM data WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+_sql("qualify", "orders", "SELECT o_custkey, o_orderkey FROM data QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+_sql("date_bin", "orders", "SELECT date_bin(INTERVAL '7 days', CAST(o_orderdate AS TIMESTAMP)) AS bin, COUNT(*) AS n FROM data GROUP BY 1", "SELECT time_bucket(INTERVAL '7 days', CAST(o_orderdate AS TIMESTAMP), TIMESTAMP '1970-01-01') AS bin, COUNT(*) AS n FROM data GROUP BY 1")
+_sql("date_text", "orders", "SELECT o_orderkey, to_char(o_orderdate, '%Y/%m, day %j') AS d FROM data", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m, day %j') AS d FROM data")
+_sql("regular_expressions", "customer", "SELECT c_custkey, regexp_like(c_name, '[1-5]$') AS m, regexp_replace(c_name, '#0*', '-') AS r, c_mktsegment ~ '^B' AS b, c_name !~ '7' AS x, c_name ~* 'CUSTOMER' AS i, array_to_string(regexp_match(c_name, '([A-Za-z]+)#0*([0-9]+)'), '|') AS g FROM data", "SELECT c_custkey, regexp_matches(c_name, '[1-5]$') AS m, regexp_replace(c_name, '#0*', '-') AS r, regexp_matches(c_mktsegment, '^B') AS b, NOT regexp_matches(c_name, '7') AS x, regexp_matches(c_name, '(?i)customer') AS i, regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 1) || '|' || regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2) AS g FROM data")
+_sql("map_struct_functions", "region", "SELECT r_regionkey, array_to_string(map_keys(make_map(['a', r_name], [1, 2])), ',') AS k, cardinality(map_extract(make_map([r_name], [r_regionkey]), 'ASIA')) AS found, struct_pack(k := r_regionkey, v := r_name).v AS v FROM data", "SELECT r_regionkey, 'a,' || r_name AS k, CASE WHEN r_name = 'ASIA' THEN 1 ELSE 0 END AS found, r_name AS v FROM data")
+_sql("array_slices", "customer", "SELECT c_custkey, array_to_string(array_slice(['a', 'b', c_mktsegment], -2, -1), '+') AS tail, c_custkey // 7 AS d, trunc(c_acctbal) AS t, log(100.0) AS l FROM data", "SELECT c_custkey, 'b+' || c_mktsegment AS tail, c_custkey // 7 AS d, trunc(c_acctbal) AS t, CAST(2 AS DOUBLE) AS l FROM data")
+_sql("hashes", "customer", "SELECT c_custkey, sha256(c_name) AS h, md5(c_mktsegment) AS m FROM data")
+_sql("dialect_mysql", "region", 'SELECT r_regionkey, "x y" AS s FROM data WHERE r_name <> "ASIA"', "SELECT r_regionkey, 'x y' AS s FROM data WHERE r_name <> 'ASIA'", dialect="mysql")
+_sql("dialect_postgres", "region", 'SELECT "r_regionkey"::TEXT AS s FROM data', dialect="postgres")
 _sql("quoted_names", "orders", 'SELECT "o_orderkey" AS "the key" FROM data WHERE "o_orderstatus" = \'P\'')
 
 
@@ -186,7 +191,7 @@ def hive_null(spark, sf_dir):
     return _partitioned(spark, rows, "{{s}}/x.parquet", ["s"], excluded=["s"])
 
 
-@_query()
+@_query("SELECT r_name || x || '.parquet' AS path, CAST(1 AS BIGINT) AS row_count FROM region CROSS JOIN (VALUES (''), ('_1')) AS n(x)")
 def partition_evict(spark, sf_dir):
     """At most two files open: a value that comes again gets a numbered file."""
     return _partitioned(spark, _table(spark, sf_dir, "region").unionAll(_table(spark, sf_dir, "region")), "{{r_name}}.parquet", ["r_name"], strategy="nosort-evict", cap=2)
@@ -251,8 +256,8 @@ def split_merge(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)

@@ -75,3 +75,14 @@ def test_qualify(spark):
     assert one("SELECT g, n FROM (SELECT g, row_number() OVER (PARTITION BY g ORDER BY id) AS n FROM data QUALIFY n = 2) x") == [("a", 2)]
     assert one("WITH q AS (SELECT id FROM data QUALIFY rank() OVER (ORDER BY id) < 3) SELECT count(*) AS n FROM q") == [(2,)]
     assert one("SELECT g, count(*) AS n FROM data GROUP BY g QUALIFY rank() OVER (ORDER BY count(*) DESC) = 1") == [("a", 2)]
+
+
+def test_ordered_aggregates(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id int, s string")
+    one = lambda sql: core.query(df, sql).first()[0]
+    assert one("SELECT array_agg(id ORDER BY s, id) FROM data") == [3, 1, 4, 2]
+    assert one("SELECT array_agg(id ORDER BY s DESC) FROM data WHERE id > 1") == [2, 4, 3]
+    assert one("SELECT string_agg(s, '+' ORDER BY id DESC) FROM data") == "b+a+b"
+    assert sorted(one("SELECT array_agg(id) FROM data")) == [1, 2, 3, 4]
+    with pytest.raises(Unsupported):
+        rewrite("SELECT array_agg(id ORDER BY s, id DESC) FROM data")

@@ -20,13 +20,17 @@ _BASES = (0x2545F491, 0x4F6CDD1D)
 #: Elements that are hashed at once, so that they stay in the processor's cache.
 _BLOCK = 1 << 15
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
+#: What operators keep in a worker from task to task; other operators' release() empties it, as idle stores count beside their work.
+stores: list[dict] = []
 _BYTE = np.random.RandomState(20240607).randint(1, 2**31 - 1, 256, dtype=np.int64).astype(U64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
 def release() -> None:
-    """Give memory that a finished slice held back to the system."""
+    """Give memory that a finished slice held, and the stores of operators that ran before, back to the system."""
+    for s in stores:
+        s.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)

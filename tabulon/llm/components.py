@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, rest
+
+#: Rounds after which the executors give their heap back: each leaves the garbage of hundreds of short tasks.
+REST = 4
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +27,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     """node, label (smallest node reachable) of every node of edges (u, v) that has an edge to another.  Each round is written to the shared folder; the rounds grow with the logarithm of the longest path."""
     edges = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     last = None
-    for _ in range(most):
+    for k in range(most):
+        if k % REST == REST - 1:
+            rest(edges.sparkSession)
         edges = kept(_star(_star(edges, True), False), name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:

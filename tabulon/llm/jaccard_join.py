@@ -398,6 +398,7 @@ def _weak_links(docs: DataFrame, weak: DataFrame, block_bytes: int = 16 << 20) -
 
 
 def _labels(link_tables: list[DataFrame]) -> DataFrame:
+    rest(link_tables[0].sparkSession)  # the step that found the last links is done
     edges = link_tables[0]
     for t in link_tables[1:]:
         edges = edges.unionByName(t)
@@ -518,6 +519,7 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
     first = by_part(nodes.select("uid"), "firsts")
     found = _groups(_segments(rows, first, buckets), buckets, hot)
+    rest(spark)
     links_found = []
 
     most = F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))

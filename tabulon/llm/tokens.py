@@ -21,6 +21,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .arrays import stores
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CAREFUL = re.compile(rb"(?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])+|[ \t\n](?:[^ \t\n]|(?<![!-~])(?<!\xc3[\x80-\xbf])[ \t\n])*")
@@ -226,10 +228,11 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+stores.append(_encoders)
 
 
 def worker_encoder(path: str, value: Callable[[list[int]], object], frequent: Callable[[], dict] | None = None, tag: object = None) -> Encoder:
-    """The encoder of this worker process: its store outlives the task.  `frequent` is called once for each tag."""
+    """The encoder of this worker process: its store outlives the task, until another operator's release().  `frequent` is called once for each tag."""
     key = (path, value.__name__, tag)
     if key not in _encoders:
         _encoders.clear()

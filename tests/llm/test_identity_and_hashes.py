@@ -1,11 +1,13 @@
 """Rows are told apart however files are dealt to tasks, and words that defeat hashes modulo a power of two stay apart."""
 
+import itertools
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 
-from tabulon.llm import arrays, common, jaccard_join, suffix_dedup
+from tabulon.llm import arrays, common, components, jaccard_join, suffix_dedup, tokens
 from tabulon.llm.decontam import Items, _search
 
 from . import helpers as H
@@ -82,3 +84,31 @@ def test_dedup_while_files_are_dealt_anew(spark, dealing, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_shard_rows", lambda *a: (dealing(), whole(*a))[1])
     got = by_rows(suffix_dedup.dedup(H.stored(spark, [(i, t, "s") for i, t in enumerate(texts)], parts=5), length=40), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(((i, *w) for i, w in enumerate(H.repeats(texts, 40))), key=repr)
+
+
+def test_idle_encoders_are_given_back():
+    enc = tokens.worker_encoder(public_tokenizers.path("word_bpe_49k.json"), tokens.ids_bytes)
+    assert enc.values([[b"some", b"words"]]) and tokens._encoders
+    arrays.release()
+    assert not tokens._encoders
+
+
+def test_heaps_are_given_back_between_steps(spark, monkeypatch):
+    done = []
+
+    def noted(module, name):
+        f = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **b: (done.append(name), f(*a, **b))[1])
+
+    for name in ("_groups", "_verified", "_hot_links"):
+        noted(jaccard_join, name)
+    noted(jaccard_join, "rest")
+    noted(components, "_star")
+    monkeypatch.setattr(components, "rest", lambda spark: done.append("rest"), raising=False)
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(near_rows(random.Random(9), 4, 6, 100, 6, ["z"] * 3))]
+    jaccard_join.join(H.stored(spark, rows), hot=3).collect()
+    steps = [k for k in done if k != "_star"]
+    assert {"_groups", "_verified", "_hot_links"} < set(steps)
+    assert all("rest" in pair for pair in itertools.pairwise(steps))
+    rounds = "".join("s" if k == "_star" else " " for k in done).split()
+    assert max(map(len, rounds)) <= 2 * components.REST

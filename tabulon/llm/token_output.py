@@ -44,13 +44,21 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = No
     at, new = np.flatnonzero(ids[:-1] < end), base
     for _ in itertools.count() if rounds is None else range(rounds):
         left, right = ids[at], ids[at + 1] & ~end
-        if len(at) > 1 << 17:  # pairs of bins that hold fewer are rare
-            bin_ = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)) >> np.uint32(11)
-            often = (np.bincount(bin_, minlength=1 << 21) >= least)[bin_]
-            at, left, right = at[often], left[often], right[often]
-        pair = (left.astype(np.uint64) << np.uint64(32)) | right
-        order = np.argsort(pair)
-        pair = pair[order]
+        wide, deep = int(new).bit_length(), len(at).bit_length()
+        if 2 * wide + deep <= 64:  # pairs carry their places, so that values are sorted: that is much quicker than argsort
+            pair = left.astype(np.uint64)
+            pair <<= np.uint64(wide)
+            pair |= right
+            pair <<= np.uint64(deep)
+            pair |= np.arange(len(at), dtype=np.uint64)
+            pair.sort()
+            order = (pair & np.uint64((1 << deep) - 1)).astype(np.int64)
+            pair >>= np.uint64(deep)
+        else:
+            wide = 32
+            pair = (left.astype(np.uint64) << np.uint64(wide)) | right
+            order = np.argsort(pair)
+            pair = pair[order]
         first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else at
         count = np.diff(np.r_[first, len(pair)])
         keep = count >= least
@@ -73,10 +81,12 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = No
         stays[where + 1] = False
         ids = ids[stays]
         found = pair[first[keep]]
-        rules.append(np.stack([found >> np.uint64(32), found & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([found >> np.uint64(wide), found & np.uint64((1 << wide) - 1)], 1).astype(np.uint32))
         if whole:
-            fresh = (ids & ~end) >= new
-            at = np.flatnonzero((fresh[:-1] | fresh[1:]) & (ids[:-1] < end))
+            fresh, to = np.zeros(len(ids), bool), where - np.arange(len(where))
+            fresh[to] = True
+            fresh[np.maximum(to - 1, 0)] = True
+            at = np.flatnonzero(fresh[:-1] & (ids[:-1] < end))
         else:
             at = np.flatnonzero(ids[:-1] < end)
         new += len(found)
@@ -85,35 +95,39 @@ def repair(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = No
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each nonterminal; rules only use earlier symbols."""
-    out = np.ones(len(rules), np.uint32)
-    todo = np.arange(len(rules))
-    of = lambda s: np.where(s < base, 1, out[np.maximum(s.astype(np.int64) - base, 0)])
-    while len(todo):
-        new = of(rules[todo, 0]) + of(rules[todo, 1])
-        changed = new != out[todo]
-        out[todo] = new
-        todo = todo if changed.any() else todo[:0]
+    out, latest, a = np.ones(len(rules), np.uint32), rules.max(1).astype(np.int64) - base if len(rules) else rules[:, 0], 0
+    while a < len(rules):  # as far as rules only use symbols before the first of them
+        later = np.flatnonzero(latest[a : a + (1 << 16)] >= a)
+        z = a + int(later[0]) if len(later) else min(a + (1 << 16), len(rules))
+        part = rules[a:z].astype(np.int64) - base
+        out[a:z] = np.where(part < 0, 1, out[np.maximum(part, 0)]).sum(1)
+        a = z
     return out
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The ids that symbols stand for.  Every nonterminal knows its place in the result, so each is handled once."""
+    """The ids that symbols stand for.  Rules that are used are expanded once; every nonterminal knows its place in the result, so each is handled once."""
     length = (lengths_of(rules, base) if lengths is None else lengths).astype(np.int64)
-    size = np.ones(len(symbols), np.int64)
-    non = symbols >= base
-    size[non] = length[symbols[non].astype(np.int64) - base]
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint32)
-    out[at[~non]] = symbols[~non]
-    rest, at = symbols[non].astype(np.int64) - base, at[non]
+    number = np.where(symbols >= base, symbols.astype(np.int64) - base, -1)
+    used = np.flatnonzero(np.bincount(number[number >= 0], minlength=len(rules)))
+    start = np.zeros(len(rules), np.int64)
+    start[used] = np.cumsum(length[used]) - length[used]
+    texts = np.empty(int(length[used].sum()), np.uint32)
+    rest, at = used, start[used]
     while len(rest):
         left, right = rules[rest, 0].astype(np.int64), rules[rest, 1].astype(np.int64)
         after = at + np.where(left < base, 1, length[np.maximum(left - base, 0)])
         both, places = np.concatenate([left, right]), np.concatenate([at, after])
         non = both >= base
-        out[places[~non]] = both[~non]
+        texts[places[~non]] = both[~non]
         rest, at = both[non] - base, places[non]
-    return out
+    plain = number < 0
+    size, begin = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    size[~plain], begin[~plain] = length[number[~plain]], start[number[~plain]]
+    begin[plain] = len(texts) + np.arange(int(plain.sum()))
+    where = np.repeat(begin - (np.cumsum(size) - size), size)
+    where += np.arange(len(where))
+    return np.concatenate([texts, symbols[plain].astype(np.uint32)])[where]
 
 
 def decode(shard: dict, document: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -142,14 +156,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 1, slice_bytes: int =
 
     def run(batches):
         enc, part, shard, start = worker_encoder(path, ids_bytes), TaskContext.get().partitionId(), 0, 0
-        end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             data, offsets = text_column(b)
             for i, j in slices(offsets, slice_bytes):
-                pieces = enc.split(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                coded = [b"".join(v) + end for v in enc.values(pieces)]
-                n = np.asarray([len(c) // 4 for c in coded], np.int64)
-                ids = np.frombuffer(b"".join(coded), "<u4")
+                ids, n = enc.coded(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
                 last = np.zeros(len(ids), bool)
                 last[np.cumsum(n) - 1] = True
                 symbols, rules, last = repair(ids, last, base)

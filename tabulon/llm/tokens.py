@@ -17,11 +17,13 @@ import json
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-from .arrays import stores
+from .arrays import NOT_SPACE, stores, words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -32,9 +34,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SIMPLE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SIMPLE_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SIMPLE_WORDS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: How byte-level tokenizers write the bytes that such letters have.
-_BYTE_CHARS = {chr(c): "".join(chr(b) if 0xA1 <= b <= 0xAC or 0xAE <= b else chr(0x100 + 33 + b - 0x7F) if b <= 0xA0 else chr(0x143) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-_AS_BYTES = str.maketrans(_BYTE_CHARS)
+#: How byte-level tokenizers write the bytes of such letters, as a decoding table; line ends stay, other bytes have no place.
+_AS_BYTES = "".join(chr(b) if b == 10 or 33 <= b <= 126 or 0xA1 <= b != 0xAD else chr(0x143) if b == 0xAD else chr(0x100 + 33 + b - 0x7F) if b > 126 else "\ufffe" for b in range(256))
 #: Pieces longer than this are encoded anew each time.
 KEEP_BYTES = 48
 #: Pieces that a worker keeps.  The store has two halves; a full one becomes the older, and what is found there moves on.
@@ -141,14 +142,14 @@ class Encoder:
             return rest
         found = _SIMPLE_WORDS.findall(text.lower())
         words = self.words
-        new = set(found).difference(words, "\n")
+        new = list(set(found).difference(words, "\n"))
         if len(words) + len(new) > WORDS:
             words = {w: words[w] for w in set(found).intersection(words)}
             if len(words) + len(new) <= WORDS:
                 self.words = words
         bpe = self.bpe.tokenize
-        for w in new:
-            words[w] = ids_bytes([t.id for t in bpe(w if w.isascii() else w.translate(_AS_BYTES))])
+        written = charmap_decode("\n".join(new).encode(), "strict", _AS_BYTES)[0].split("\n") if new else new
+        words.update(zip(new, [array("I", [t.id for t in bpe(w)]).tobytes() for w in written], strict=True))
         words["\n"] = _MARK  # no id is so high
         values = b"".join(map(words.__getitem__, found)).split(_MARK)
         if len(values) != len(miss):  # the mark's bytes across two ids
@@ -226,6 +227,54 @@ class Encoder:
         ends = list(itertools.accumulate(map(len, pieces), initial=0))
         return [got[a:z] for a, z in itertools.pairwise(ends)]
 
+    def look_up(self, keys: list[bytes]) -> list[object]:
+        """The values of distinct pieces."""
+        if len(self.known) > KEEP // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        got = list(map(known.get, keys))
+        miss = [p for p, v in zip(keys, got, strict=True) if v is None]
+        if miss:
+            for store in (older, self.frequent):
+                if store and miss:
+                    held = list(map(store.get, miss))
+                    known.update((p, v) for p, v in zip(miss, held, strict=True) if v is not None)
+                    miss = [p for p, v in zip(miss, held, strict=True) if v is None]
+            self.learn(miss)
+            got = [known[p] if v is None else v for p, v in zip(keys, got, strict=True)]
+            for p in miss:
+                if len(p) > KEEP_BYTES:
+                    del known[p]
+        return got
+
+    def _numbered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The slice's distinct pieces, which of them each place holds, and the places before each document."""
+        if self.kind != "words":
+            pieces = self.split(data, offsets)
+            number: dict[bytes, int] = {}
+            which = np.fromiter((number.setdefault(p, len(number)) for p in itertools.chain.from_iterable(pieces)), np.int64)
+            return list(number), which, np.cumsum([0, *map(len, pieces)])
+        start, end, before = words(data, offsets, NOT_SPACE)
+        packed = pa.py_buffer(data.tobytes().translate(None, b" \t\n\x0b\x0c\r"))
+        edges = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=edges[1:])
+        found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), packed]).dictionary_encode()
+        _, o, raw = found.dictionary.buffers()
+        raw, o = raw.to_pybytes() if raw is not None else b"", np.frombuffer(o, np.int64)[: len(found.dictionary) + 1].tolist()
+        return [raw[a:z] for a, z in itertools.pairwise(o)], found.indices.to_numpy(), before
+
+    def coded(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents of a slice, each followed by the end id, and how many each has; values must be the ids' bytes.  Each distinct piece of the slice is looked up once."""
+        keys, which, before = self._numbered(data, offsets)
+        values = [*self.look_up(keys), np.asarray([end_id], "<u4").tobytes()]
+        which = np.insert(which, before[1:], len(keys))
+        size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        count = size[which]
+        end = np.cumsum(count)
+        at = np.repeat((np.cumsum(size) - size)[which] - (end - count), count)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(values), "<u4")[at], np.diff(end[before[1:] + np.arange(len(before) - 1)], prepend=0)
+
 
 _encoders: dict[tuple, Encoder] = {}
 stores.append(_encoders)

@@ -127,3 +127,28 @@ def test_contexts_against_brute_force():
         own = np.array([len(t) - n + 1 for t in texts])
         seen = Counter(t[p : p + n] for t, o in zip(texts, own, strict=True) for p in range(o))
         assert Contexts(texts, own, n).repeats.tolist() == [seen[t[p : p + n]] > 1 for t, o in zip(texts, own, strict=True) for p in range(o)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_each_distinct_piece_of_a_slice_is_looked_up_once(name):
+    texts = ["", "the cat and The cat\tand\x0bthe cat", " ", "x", "café café 中文 İx\r\n the", "<|endoftext|> the", "\0 a\0", "it's 1999"] * 3
+    enc = Encoder(public_tokenizers.path(name), R.ids_bytes)
+    asked, look_up = [], enc.look_up
+    enc.look_up = lambda keys: asked.extend(keys) or look_up(keys)
+    ids, n = enc.coded(*packed(texts), 1)
+    want = [[*enc.model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(asked) == len(set(asked))
+    ids, n = enc.coded(*packed([]), 1)
+    assert len(ids) == len(n) == 0
+
+
+def test_repair_of_symbols_too_wide_to_be_packed():
+    rng = np.random.RandomState(8)
+    ids = np.tile(rng.randint(0, 5, 400), 3).astype(np.uint32)
+    last = rng.rand(len(ids)) < 0.02
+    last[-1] = True
+    got = [R.repair(ids, last, base) for base in (1 << 20, 1 << 30)]
+    lower = lambda x, base: np.where(x >= base, x - base + 5, x).tolist()
+    assert [lower(x, 1 << 20) for x in got[0][:2]] == [lower(x, 1 << 30) for x in got[1][:2]] and (got[0][2] == got[1][2]).all()
+    assert all((R.expand(s, rules, base) == ids).all() for (s, rules, _), base in zip(got, (1 << 20, 1 << 30), strict=True))

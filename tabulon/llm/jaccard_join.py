@@ -12,7 +12,8 @@ whenever the larger set fills more segments than the pair may differ in.
   be there.  Sets smaller than ``small`` send every shingle as a segment.  The rare set
   that fills too few segments is compared with all sets, in blocks.
 * Segments travel as packed arrays, one row for each slice and bucket.  Equal sets are one node,
-  however many documents have them.
+  however many documents have them; until the links are known it goes by the identity of its first document,
+  of which a row writes the upper bits once.
 * A key that more than ``hot`` nodes share is not worth much: a set that fills enough other
   segments finds all its partners by those.  The others (mostly members of large groups of
   near copies) probe only as many of their hot keys, the rarest first, as they need.
@@ -146,8 +147,8 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _segments(docs: DataFrame, nodes: str, buckets: int) -> DataFrame:
-    """Packed segments of one document for each node (the side table `nodes`): of each slice and bucket the keys (5 bytes), the local number of the set, and the sets' nodes, sizes and bands."""
-    columns = "bucket int, keys binary, which binary, nodes binary, sizes binary, own binary"
+    """Packed segments of one document for each node (the side table `nodes`): of each slice and bucket the keys (5 bytes) set by set, and of each set and band the number of keys, the place of its document in the part, its size and whether the band is its own."""
+    columns = "bucket int, part long, keys binary, counts binary, nodes binary, sizes binary, own binary"
 
     def run(batches):
         side = Side(nodes)
@@ -156,44 +157,51 @@ def _segments(docs: DataFrame, nodes: str, buckets: int) -> DataFrame:
                 rows = part.rows("uid")
                 b_ = part.batch.filter(pa.array([u in rows for u in part.uid], pa.bool_()))
                 if b_.num_rows:
-                    yield from solve(b_)
+                    yield from solve(b_, part.number)
             release()
 
-    def solve(b):
+    def solve(b, part):
         data, offsets = text_column(b)
+        place = np.asarray(b.column(0)) & ((1 << PART_BITS) - 1)
         for i, j in slices(offsets, SLICE_BYTES):
             key, which, own, nodes, sizes = [], [], [], [], []
-            for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+            for doc, s in zip(place[i:j], shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
                 for band in bands_of(len(s)):
                     k = segments(s, band)
                     key.append(k)
                     which.append(np.full(len(k), len(nodes), np.uint32))
-                    own.append(np.full(len(k), band == len(s).bit_length() - 1))
-                nodes.append(node_of(s))
-                sizes.append(len(s))
-            key, which, own = np.concatenate(key), np.concatenate(which), np.concatenate(own)
+                    nodes.append(doc)
+                    sizes.append(len(s))
+                    own.append(band == len(s).bit_length() - 1)
+            key, which = np.concatenate(key), np.concatenate(which)
             to = (key % U64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             edge = np.searchsorted(to[order], np.arange(buckets + 1))
-            node, size, out = np.array(nodes, "<i8"), np.array(sizes, "<u4"), []
+            node, size, own, out = np.array(nodes, "<u2"), np.array(sizes, np.int64), np.array(own), []
             for q in np.flatnonzero(np.diff(edge)).tolist():
                 k = order[edge[q] : edge[q + 1]]
-                used, local = np.unique(which[k], return_inverse=True)
+                used, count = np.unique(which[k], return_counts=True)  # the order keeps the keys of a set together
                 five = (key[k] // U64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((q, five.tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), node[used].tobytes(), size[used].tobytes(), np.packbits(own[k]).tobytes()))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["bucket", "keys", "which", "nodes", "sizes", "own"])
+                out.append((q, part << PART_BITS, five.tobytes(), _tight(count), node[used].tobytes(), _tight(size[used]), np.packbits(own[used]).tobytes()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], [x.split()[0] for x in columns.split(", ")])
 
     return docs.select("uid", "text").mapInArrow(run, columns)
 
 
+def _tight(x: np.ndarray) -> bytes:
+    """Numbers in 1, 2 or 4 bytes each, whichever holds them all."""
+    return x.astype("<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes()
+
+
 def _unpack(r: dict) -> tuple[np.ndarray, ...]:
+    """Keys, nodes, sizes and whether the band is the set's own, of each segment of a row."""
     five = np.frombuffer(r["keys"], np.uint8).reshape(-1, 5)
     key = np.zeros((len(five), 8), np.uint8)
     key[:, :5] = five
-    nodes = np.frombuffer(r["nodes"], "<i8")
-    kind = "<u2" if len(nodes) < 65536 else "<u4"
-    which = np.frombuffer(r["which"], kind).astype(np.int64)
-    return key.view("<u8").ravel(), nodes[which], np.frombuffer(r["sizes"], "<u4").astype(np.int64)[which], np.unpackbits(np.frombuffer(r["own"], np.uint8))[: len(five)].astype(bool)
+    nodes = np.frombuffer(r["nodes"], "<u2") + np.int64(r["part"])
+    wide = lambda x: np.frombuffer(x, f"<u{len(x) // len(nodes)}").astype(np.int64)
+    which = np.repeat(np.arange(len(nodes)), wide(r["counts"]))
+    return key.view("<u8").ravel(), nodes[which], wide(r["sizes"])[which], np.unpackbits(np.frombuffer(r["own"], np.uint8))[which].astype(bool)
 
 
 GROUPS = "kind int, g long, a long, b long, n long, own boolean"
@@ -421,12 +429,30 @@ def _mixed(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 
 def _cross(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members (g, node, n) of one small group in different components; one of a pair is outside the group's largest."""
-    m = _mixed(members, labels, "mixed")
-    x = m.where("label <> main").select("g", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    y = m.select("g", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    fits = (F.least("nx", "ny") * 100 >= PERCENT * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly"))
-    return x.join(y, "g").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Pairs of members (g, node, n) of one small group in different components.  Rows may be repeated; they move once to their node's label and once to their group."""
+    m = members.repartition("node").distinct().join(labels, "node", "left").select("g", "node", "n", F.coalesce("label", "node").alias("label"))
+
+    def solve(g, node, n, label):
+        for d in itertools.count(1):
+            same = g[d:] == g[:-d]
+            if not same.any():
+                return
+            small, large = np.minimum(n[d:], n[:-d]), np.maximum(n[d:], n[:-d])
+            found = same & (label[d:] != label[:-d]) & _fits(small, large)
+            a, b = _unique_pairs(node[:-d][found], node[d:][found])
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            held = [np.concatenate([x, np.asarray(y)]) for x, y in zip(held, b.columns, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1:], "left")[0]) if len(held[0]) else 0
+            yield from solve(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+        yield from solve(*held)
+
+    return m.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
 
 class _Block:
@@ -515,7 +541,8 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     rows = numbered(scanned(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = _sets(rows)
     nodes = kept(sets.where("n > 0").groupBy("node").agg(F.min(F.struct("uid", "n", "filled", "sketch")).alias("x")).select("node", "x.*"), "nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
+    total, by_hash = nodes.agg(F.sum("n")).first()[0] or 0, nodes
+    nodes = by_hash.withColumn("node", F.col("uid"))
     buckets = partitions(spark, int(total * 0.7), keys_per_bucket)
     first = by_part(nodes.select("uid"), "firsts")
     found = _groups(_segments(rows, first, buckets), buckets, hot)
@@ -525,7 +552,8 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     most = F.floor(2 * F.col("n") * (100 - PERCENT) / (100 + PERCENT))
     weak = nodes.where(F.col("filled") <= most)
     if weak.limit(1).count():
-        links_found.append(kept(_weak_links(rows, weak), "weak"))
+        named = lambda k: by_hash.select(F.col("node").alias(k), F.col("uid").alias(f"u_{k}"))
+        links_found.append(kept(_weak_links(rows, weak).join(named("a"), "a").join(named("b"), "b").select(F.col("u_a").alias("a"), F.col("u_b").alias("b")), "weak"))
 
     # hot groups: members, and the sets that need them, each with the rarest hot keys it needs
     members = found.where("kind = 2").select("g", F.col("a").alias("node"), "n", "own")
@@ -548,13 +576,15 @@ def join(docs: DataFrame, hot: int = HOT, keys_per_bucket: int = 1_200_000) -> D
     labels = _labels(links_found)
     links_found.append(_verified(_apart(pairs.join(one, ["a", "b"], "left_anti"), labels), nodes, rows, "second"))
     labels = _labels(links_found)
-    cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n").distinct()
+    cool = found.where("kind = 1").select("g", F.col("a").alias("node"), "n")
     links_found.append(_hot_links(rows, warm, labels, nodes))
     labels = _labels(links_found)
     left = kept(_cross(cool, labels).join(pairs, ["a", "b"], "left_anti"), "left")
     links_found.append(_verified(left, nodes, rows, "third"))
     labels = _labels(links_found)
     rest(spark)
+    hashed = lambda k: by_hash.select(F.col("uid").alias(k), F.col("node").alias(f"h_{k}"))
+    labels = labels.join(hashed("node"), "node").join(hashed("label"), "label").select(F.col("h_node").alias("node"), F.col("h_label").alias("label"))
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm import components, decontam, jaccard_join, licenses, media, mixing, pii, quality, queries, suffix_dedup, token_counts, token_output
+from tabulon.llm.common import numbered
+from tabulon.llm.sides import by_part
 
 from . import helpers as H
 
@@ -183,6 +185,32 @@ def test_jaccard_weak_sets_are_compared_with_all(spark, monkeypatch):
     assert linked == {(a, b) for a in sets for b in sets if a < b and jaccard_join.links(sets[a], sets[b])} and linked
 
 
+def test_jaccard_join_names_weak_sets_as_the_others(spark, monkeypatch):
+    rng, whole = random.Random(10), jaccard_join._sets
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(near_rows(rng, 4, 4, 100, 5, ["z"] * 3))]
+    monkeypatch.setattr(jaccard_join, "_sets", lambda docs: whole(docs).withColumn("filled", F.lit(0).cast("long")))
+    got = by_rows(jaccard_join.join(H.stored(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(H.near([r[0] for r in rows], [r[1] for r in rows]), key=repr)
+
+
+def test_segments_take_few_bytes_in_many_buckets(spark):
+    """With few keys of a set in a bucket, what names the set must not outweigh the keys."""
+    rng, buckets = random.Random(11), 200
+    texts = [" ".join(str(rng.randint(0, 10**9)) for _ in range(n)) for n in (300,) * 38 + (8, 400)]
+    docs = numbered(H.stored(spark, [(i, t, "s") for i, t in enumerate(texts)], parts=1), "text").select("uid", "text").cache()
+    packed = [r.asDict() for r in jaccard_join._segments(docs, by_part(docs.select("uid"), "few"), buckets).collect()]
+    want, keys = set(), 0
+    for uid, text in docs.collect():
+        (s,) = jaccard_join.shingle_sets(*_packed([text]))
+        for band in jaccard_join.bands_of(len(s)):
+            for k in jaccard_join.segments(s, band).tolist():
+                want.add((k % buckets, k // buckets & (1 << 40) - 1, uid, len(s), band == len(s).bit_length() - 1))
+                keys += 1
+    assert want == {(r["bucket"], *x) for r in packed for x in zip(*(c.tolist() for c in jaccard_join._unpack(r)), strict=True)}
+    size = sum(len(x) if isinstance(x, bytes | bytearray) else 8 for r in packed for x in r.values())
+    assert size < 12 * keys
+
+
 def _packed(texts):
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])

@@ -6,7 +6,8 @@ the pieces encode independently and a worker encodes each distinct piece once:
 * ``spaced`` (byte-level BPE): before each single space that follows a printable
   ASCII character or a two-byte letter U+00C0..U+00FF and precedes no white
   space.  A text with any other space is cut more carefully, by ``careful``.
-* ``words`` (white space is dropped): at ASCII white space.
+* ``words`` (white space is dropped): at ASCII white space; where ids alone are wanted, pieces of printable
+  ASCII further into their lower-case pre-tokens, of which there are far fewer.
 * ``whole`` (any other tokenizer): not at all.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .arrays import NOT_SPACE, stores, words
+from .arrays import LOWER, NOT_SPACE, stores, words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -82,6 +83,10 @@ def kind_of(path: str) -> str:
     return "words" if drops and plain else "whole"
 
 
+#: Classes of WORD_PATTERN's characters in printable ASCII; 0: any other byte.
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_CLASS = bytes(_LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN if 33 <= b <= 126 else 0 for b in range(128)) + bytes(128)
+_LOWER, _BLANKS = LOWER.tobytes(), b" \t\n\x0b\x0c\r"
 #: Parts pieces among the ids of plain words.
 _MARK = b"\xff\xff\xff\xff"
 
@@ -90,6 +95,15 @@ def ids_bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def _distinct(raw: bytes, edges: np.ndarray, only: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The distinct pieces between the edges, and which each is; of all or of some."""
+    found = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64, copy=False)), pa.py_buffer(raw)])
+    found = (found if only is None else found.filter(pa.array(only))).dictionary_encode()
+    _, o, held = found.dictionary.buffers()
+    held, o = held.to_pybytes() if held is not None else b"", np.frombuffer(o, np.int64)[: len(found.dictionary) + 1].tolist()
+    return [held[a:z] for a, z in itertools.pairwise(o)], found.indices.to_numpy()
+
+
 class Encoder:
     """A worker's tokenizer with its store of pieces; `value` turns a list of ids into what the operator needs."""
 
@@ -114,6 +128,8 @@ class Encoder:
         self.known: dict[bytes, object] = {}
         self.older: dict[bytes, object] = {}
         self.words: dict[str, bytes] = {}
+        self.plain: dict[bytes, bytes] = {}
+        self.older_plain: dict[bytes, bytes] = {}
         self.frequent = frequent or {}
 
     def encode(self, parts: list[bytes]) -> list[object]:
@@ -163,6 +179,8 @@ class Encoder:
         return rest
 
     def learn(self, miss: list[bytes]) -> None:
+        if not miss:  # all were in the older half
+            return
         known = self.known
         if self.kind == "words":
             alone: list[bytes] = []
@@ -254,20 +272,88 @@ class Encoder:
             number: dict[bytes, int] = {}
             which = np.fromiter((number.setdefault(p, len(number)) for p in itertools.chain.from_iterable(pieces)), np.int64)
             return list(number), which, np.cumsum([0, *map(len, pieces)])
+        edges, before = self._edges(data, offsets)
+        return *_distinct(data.tobytes().translate(None, _BLANKS), edges), before
+
+    @staticmethod
+    def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin in the slice without its white space, and its end; the pieces before each document."""
         start, end, before = words(data, offsets, NOT_SPACE)
-        packed = pa.py_buffer(data.tobytes().translate(None, b" \t\n\x0b\x0c\r"))
         edges = np.zeros(len(start) + 1, np.int64)
         np.cumsum(end - start, out=edges[1:])
-        found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), packed]).dictionary_encode()
-        _, o, raw = found.dictionary.buffers()
-        raw, o = raw.to_pybytes() if raw is not None else b"", np.frombuffer(o, np.int64)[: len(found.dictionary) + 1].tolist()
-        return [raw[a:z] for a, z in itertools.pairwise(o)], found.indices.to_numpy(), before
+        return edges, before
+
+    def _pre_tokens(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+        """The slice's distinct lower-case pre-tokens of pieces of printable ASCII, its distinct other pieces, which of them (the others counted on) each place holds, and the places before each document."""
+        raw = data.tobytes()
+        edges, before = self._edges(data, offsets)
+        packed, low = raw.translate(None, _BLANKS), raw.translate(_LOWER, _BLANKS)
+        kind, n = np.frombuffer(packed.translate(_CLASS), np.uint8), len(packed)
+        cut, piece = np.zeros(n + 3, bool), np.zeros(n + 3, bool)
+        piece[edges] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1 : max(n, 1)])
+        cut[:n] |= kind == _DIGIT
+        cut |= piece
+        letter = np.frombuffer(low + bytes(3), np.uint8)
+        mark = np.flatnonzero(letter == 39)
+        mark = mark[cut[mark] & ~piece[mark + 1]]
+        one, two = letter[mark + 1], letter[mark + 2]
+        short = (one == 115) | (one == 116) | (one == 109) | (one == 100)  # 's 't 'm 'd
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)  # 're 've 'll
+        long &= ~piece[mark + 2]
+        cut[mark[short | long] + 1] = False
+        cut[mark[short] + 2] = True
+        cut[mark[long] + 3] = True
+        strange = np.flatnonzero(kind == 0)
+        at = [np.searchsorted(edges, strange, "right") - 1]
+        for x in map(str.encode, self.specials):
+            for m in re.finditer(re.escape(x), packed):
+                at.append(np.arange(np.searchsorted(edges, m.start(), "right") - 1, np.searchsorted(edges, m.end())))
+        other = np.zeros(len(edges) - 1, bool)
+        other[np.concatenate(at)] = True
+        if other.any():
+            cut[:n] &= ~np.repeat(other, np.diff(edges))
+            cut |= piece
+        cut = cut[:n]
+        start = np.flatnonzero(cut)
+        places = np.searchsorted(start, edges[before])
+        ends = np.r_[start, n]
+        if not other.any():
+            keys, which = _distinct(low, ends)
+            return keys, [], which, places
+        whole = np.zeros(len(start), bool)
+        whole[np.searchsorted(start, edges[:-1][other])] = True
+        keys, found = _distinct(low, ends, ~whole)
+        number: dict[bytes, int] = {}
+        rest = [number.setdefault(packed[a:z], len(number)) for a, z in zip(edges[:-1][other].tolist(), edges[1:][other].tolist(), strict=True)]
+        which = np.empty(len(start), np.int64)
+        which[~whole], which[whole] = found, np.array(rest) + len(keys)
+        return keys, list(number), which, places
+
+    def _plain_values(self, keys: list[bytes]) -> list[bytes]:
+        """The ids' bytes of distinct lower-case pre-tokens of printable ASCII."""
+        if len(self.plain) > KEEP // 2:
+            self.older_plain, self.plain = self.plain, {}
+        known, older, bpe = self.plain, self.older_plain, self.bpe.tokenize
+        got = list(map(known.get, keys))
+        for k, v in enumerate(got):
+            if v is None:
+                p = keys[k]
+                got[k] = v = older.get(p) or array("I", [t.id for t in bpe(p.decode())]).tobytes()
+                if len(p) <= KEEP_BYTES:
+                    known[p] = v
+        return got
 
     def coded(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice, each followed by the end id, and how many each has; values must be the ids' bytes.  Each distinct piece of the slice is looked up once."""
-        keys, which, before = self._numbered(data, offsets)
-        values = [*self.look_up(keys), np.asarray([end_id], "<u4").tobytes()]
-        which = np.insert(which, before[1:], len(keys))
+        if self.kind == "words" and self.bpe is not None:
+            plain, keys, which, before = self._pre_tokens(data, offsets)
+            values = self._plain_values(plain) + self.look_up(keys)
+        else:
+            keys, which, before = self._numbered(data, offsets)
+            values = self.look_up(keys)
+        which = np.insert(which, before[1:], len(values))
+        values.append(np.asarray([end_id], "<u4").tobytes())
         size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
         count = size[which]
         end = np.cumsum(count)

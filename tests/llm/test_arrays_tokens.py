@@ -152,3 +152,39 @@ def test_repair_of_symbols_too_wide_to_be_packed():
     lower = lambda x, base: np.where(x >= base, x - base + 5, x).tolist()
     assert [lower(x, 1 << 20) for x in got[0][:2]] == [lower(x, 1 << 30) for x in got[1][:2]] and (got[0][2] == got[1][2]).all()
     assert all((R.expand(s, rules, base) == ids).all() for (s, rules, _), base in zip(got, (1 << 20, 1 << 30), strict=True))
+
+
+def test_plain_pieces_are_looked_up_by_pre_tokens():
+    """The same words beside other signs and in other case are nothing new."""
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"), R.ids_bytes)
+    asked, look_up = [], enc.look_up
+    enc.look_up = lambda keys: asked.extend(keys) or look_up(keys)
+    texts = ["It's the cat, the Cat! (THE CAT) 'cat'", "cat's-cat\tcat?! café", "<|endoftext|>cat"]
+    ids, n = enc.coded(*packed(texts), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*enc.model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert sorted(asked) == [b"<|endoftext|>cat", "café".encode()]
+    assert set(enc.plain) == {b"it", b"'s", b"the", b"cat", b",", b"!", b"(", b")", b"'", b"-", b"?!"}
+
+
+def test_pre_tokens_are_those_of_the_library():
+    rng = random.Random(12)
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"), R.ids_bytes)
+    bits = ["'", "'s", "'S", "'re", "'VE", "'ll", "'d", "''", "s", "re", "a", "Word", "12", "_", "?!", '"', " ", "  ", "\n", "\t"]
+    odd = ["\x0b", "\x1c", "\0", "\x7f", " ", "é", "中", "İ", "'ſ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "٣"]
+    for k in range(300):
+        texts = ["".join(rng.choice(bits + odd * (k % 2)) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(1, 6))]
+        ids, n = enc.coded(*packed(texts), 1)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*enc.model.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_pieces_that_are_all_in_the_older_half(monkeypatch):
+    monkeypatch.setattr("tabulon.llm.tokens.KEEP", 2)
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"), R.ids_bytes)
+    first = "café naïve déjà the cat"
+    want = [*enc.model.encode(first, add_special_tokens=False).ids, 1]
+    for _ in range(3):
+        ids, n = enc.coded(*packed([first]), 1)
+        assert ids.tolist() == want and n.tolist() == [len(want)]
+    pieces = enc.split(*packed([first]))
+    for _ in range(3):
+        assert b"".join(enc.values(pieces)[0]) == R.ids_bytes(want[:-1])

@@ -162,14 +162,14 @@ def features(payload: bytes, width: int, height: int) -> str:
     return f"{width}x{height};{x.mean():.4f};{x.std():.4f};" + ",".join(f"{s:.4f}" for s in shares)
 
 
-def read_back(rows: DataFrame) -> DataFrame:
-    """rows of pack(), or of metadata(), with digests and features of the stored bytes."""
+def read_back(rows: DataFrame, tail: int = WIDTH) -> DataFrame:
+    """rows of pack(), or of metadata(), with digests and features of the stored bytes; tail_crc32 is of the payload's last `tail` bytes."""
     if "width" not in rows.columns:
         rows = metadata(rows)
 
     def one(s, shard, offset, length, width, height):
         media = s.read(shard, offset, length)
         payload = decode(media)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, width, height)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, width, height)
 
     return _each(rows, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one, ("width", "height"))

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = media.read_back(media.metadata(media.pack(documents(spark, sf_dir))))
+    rows = media.read_back(media.metadata(media.pack(documents(spark, sf_dir))), tail=32)
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

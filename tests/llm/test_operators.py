@@ -136,6 +136,18 @@ def test_media_columns_come_from_headers(spark, odd, monkeypatch):
     assert filled == [1] and len(got) == len(H.ODD) and all(r.feature.startswith("7x") for r in got)
 
 
+def test_media_query_keeps_its_contract(spark, monkeypatch):
+    """The exact columns by brute force, the checksum of the payload's last 32 bytes, on texts that end near the padding's edges."""
+    texts = [None, "", "x", "é" * 288, "中\x00🙂 end", *(("0123456789" * 130)[:n] for n in (543, 544, 545, 575, 576, 577, 1151, 1152, 1153))]
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: H.stored(spark, [(k, t, "s") for k, t in enumerate(texts)]))
+    got = {r.doc_id: r for r in queries.op3_media_columns(spark, "").collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
 def near_rows(rng, groups, size, words, edits, common):
     rows, k = [], 0
     for _ in range(groups):

@@ -2,6 +2,7 @@
 
 import builtins
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -20,6 +21,21 @@ def test_places_over_several_partitions(spark):
     assert placed == sorted(placed) and places == list(range(1, 40_001))
 
 
+def test_rows_of_sorted_files_stay_on_the_executors(spark, tmp_path, monkeypatch):
+    """Places come from the files by a scan; values that would make hidden files keep their rows."""
+    from tabulon.plans import catalog_files
+
+    rows = [(k, k, s, float(k % 3), None, "p") for k, s in enumerate([None, "_x", "a/b %", ".y", "F"] * 4)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(catalog_files.pq, "ParquetFile", lambda *a, **k: pytest.fail("read by the driver"))
+    got = sorted((str(r.s), r.place, r.o_orderkey) for r in catalog_files.partition_sorted_files(spark, str(tmp_path)).collect())
+    expected = []
+    for s in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (-r[3], r[0]))
+        expected += [(str(s), n + 1, r[0]) for n, r in enumerate(own)]
+    assert got == sorted(expected)
+
+
 def test_entry_without_what_the_corpus_operators_import(monkeypatch):
     import sys
 

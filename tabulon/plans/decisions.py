@@ -110,14 +110,18 @@ class Decision:
     bloom: Bloom | None
 
 
-def decide(schema: pa.Schema, c: Columns, rows: int, measured: dict[str, Cardinality], limit: int = DICTIONARY_BYTES) -> list[Decision]:
-    """A filter with a given ndv is always written; one of measured size only where the column keeps its dictionary."""
+def decide(schema: pa.Schema, c: Columns, rows: int, measured: dict[str, Cardinality], limit: int = DICTIONARY_BYTES, group_rows: int | None = None) -> list[Decision]:
+    """A filter with a given ndv is always written; one of measured size only where the column keeps its dictionary.
+
+    Each row group has its own filter, so a measured size is no more than the group's rows: filters that are
+    sized for the whole table grow with the square of it, and writers hold them until the file is closed.
+    """
     out = []
     for leaf in T.leaves(schema):
         mode, wish = dictionary_mode(leaf, c), bloom_mode(leaf, c)
         found = measured.get(leaf.path[0]) if not leaf.nested else None
         has = mode == "always" or mode == "analyze" and found is not None and dictionary_pays(found, rows, leaf.type, limit)
         if wish and wish.ndv is None:
-            wish = Bloom(wish.fpp, max(1, found.distinct)) if has and found else None
+            wish = Bloom(wish.fpp, max(1, min(found.distinct, group_rows or found.distinct))) if has and found else None
         out.append(Decision(leaf.name, has, wish))
     return out

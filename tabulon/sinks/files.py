@@ -24,8 +24,14 @@ from ..operators.core import named, order
 from ..plans import decisions
 from ..plans.options import SortSpec
 from ..plans.paths import OutputFile, Template
+from . import joined
 from .options import ArrowOptions, ParquetOptions
 
+#: Rows of a batch in the files that hold the rows of a single file until its parts are written.
+HELD_ROWS = 16_384
+#: About so many rows, and at least a row group, are a part that one task writes of a single file.
+PART_ROWS = 1 << 18
+
 
 def _store(path: str):
     return fs.FileSystem.from_uri(path)
@@ -52,7 +58,7 @@ class _Writer:
             self.writer = pq.ParquetWriter(self.out, schema, sorting_columns=sorting, **options.pyarrow(schema, decided))
             if options.metadata:
                 self.writer.add_key_value_metadata(options.metadata)
-            self.size = options.row_group_rows
+            self.size = options.group_rows
         self.parquet = isinstance(options, ParquetOptions)
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -167,7 +173,7 @@ def plan_columns(df: DataFrame, options: ParquetOptions, exact: bool = False) ->
     schema = arrow_schema(df)
     names = decisions.to_measure(schema, options.columns)
     rows, found = decisions.measure(df, names, exact) if names else (0, {})
-    return decisions.decide(schema, options.columns, rows, found, options.dictionary_page_bytes)
+    return decisions.decide(schema, options.columns, rows, found, options.dictionary_page_bytes, options.group_rows)
 
 
 def write_single(df: DataFrame, path: str, options, overwrite: bool = False, create_dirs: bool = True, ordered: bool = False) -> OutputFile:
@@ -187,16 +193,10 @@ def write_single(df: DataFrame, path: str, options, overwrite: bool = False, cre
     if parquet:
         options.check(schema)
         decided = plan_columns(df, options)
-    if parquet and not options.needs_pyarrow:
-        writer = df.coalesce(1).write
-        for k, v in options.spark(decided).items():
-            writer = writer.option(k, v)
-        writer.parquet(staging)
-        parts = [f for f in files.list(staging) if f.rpartition("/")[2].startswith("part-")]
-        rows = _footer_rows(files.full(parts[0]))
-        source = parts[0]
+    files.make_dirs(staging)
+    if parquet:
+        source, rows = _in_parts(df, files, staging, schema, options, decided)
     else:
-        files.make_dirs(staging)
         got = write_in_tasks(df.select(F.lit(0).cast("long").alias("__key"), "*").coalesce(1), staging, schema, options, decided, None)
         if got:
             source, rows = got[0]["file"], got[0]["rows"]
@@ -208,6 +208,64 @@ def write_single(df: DataFrame, path: str, options, overwrite: bool = False, cre
     return OutputFile(path, rows)
 
 
+def _in_parts(df: DataFrame, files: Files, staging: str, schema: pa.Schema, options: ParquetOptions, decided) -> tuple[str, int]:
+    """df as one Parquet file in the staging folder, and its rows.
+
+    Tasks hold their rows as they come; other tasks write parts of whole row groups of them, which are joined.
+    So no task reads, sorts or encodes everything, and the groups are those that one task would write.
+    """
+    spark = df.sparkSession
+    files.make_dirs(f"{staging}/rows")
+    got = write_in_tasks(df.select(F.lit(0).cast("long").alias("__key"), "*"), f"{staging}/rows", schema, ArrowOptions("zstd", batch_rows=HELD_ROWS), [], None)
+    held, total = [], 0
+    for r in sorted(got, key=lambda r: r["at"]):
+        held.append((r["file"], total, r["rows"]))
+        total += r["rows"]
+    each = options.group_rows * max(1, PART_ROWS // options.group_rows)
+    ranges = spark.range(0, max(1, -(-total // each)), 1, max(1, -(-total // each)))
+
+    def batches_of(k: int) -> Iterator[pa.RecordBatch]:
+        first, end = k * each, min(total, (k + 1) * each)
+        for file, at, n in held:
+            a, z = max(first, at) - at, min(end, at + n) - at
+            if a < z:
+                store, name = _store(file)
+                with store.open_input_file(name) as f:
+                    r = pa.ipc.open_file(f)
+                    for i in range(a // HELD_ROWS, -(-z // HELD_ROWS)):
+                        start = i * HELD_ROWS
+                        yield r.get_batch(i)[max(a - start, 0) : z - start]
+
+    if options.needs_pyarrow:
+
+        def write(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    w = _Writer(f"{staging}/{k}-{TaskContext.get().taskAttemptId()}", schema, options, decided)
+                    for x in batches_of(k):
+                        w.add(x)
+                    w.close()
+                    yield pa.record_batch([pa.array([k]), pa.array([w.path])], ["k", "file"])
+
+        parts = [r["file"] for r in sorted(ranges.mapInArrow(write, "k long, file string").collect(), key=lambda r: r["k"])]
+    else:
+
+        def read(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    yield from batches_of(k)
+
+        writer = ranges.mapInArrow(read, df.schema).write
+        for k, v in options.spark(decided).items():
+            writer = writer.option(k, v)
+        writer.parquet(f"{staging}/parts")
+        parts = [files.full(f) for f in files.list(f"{staging}/parts") if f.rpartition("/")[2].startswith("part-")]
+    if len(parts) == 1:
+        return parts[0], total
+    joined.join(spark, parts, f"{staging}/whole")
+    return f"{staging}/whole", total
+
+
 def _footer_rows(path: str) -> int:
     store, at = _store(path)
     with store.open_input_file(at) as f:

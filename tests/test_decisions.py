@@ -51,3 +51,12 @@ def test_what_is_measured():
 def test_measure(spark, exact):
     df = spark.createDataFrame([(i % 3, "ab") for i in range(50)], "k int, s string")
     assert D.measure(df, ["k", "s"], exact) == (50, {"k": D.Cardinality(3), "s": D.Cardinality(1, 2.0)})
+
+
+def test_measured_filters_are_sized_for_a_row_group():
+    """A filter is of one row group; a given size stays."""
+    measured = {"k": D.Cardinality(5_000)}
+    schema = pa.schema([("k", pa.int64())])
+    size = lambda c, **how: D.decide(schema, c, 100_000, measured, **how)[0].bloom.ndv
+    assert size(D.Columns(), group_rows=400) == 400 and size(D.Columns(), group_rows=50_000) == 5_000 == size(D.Columns())
+    assert size(D.Columns(distinct={"k": 5_000}), group_rows=400) == 5_000

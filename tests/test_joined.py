@@ -73,6 +73,19 @@ def test_parts_make_the_file_of_one_writer(spark, tmp_path, small_parts, writer)
     assert [r.id for r in spark.read.parquet(path).where("id IN (3, 2222, 5049)").orderBy("id").collect()] == [3, 2222, 5049]
 
 
+@pytest.mark.parametrize("elsewhere", [False, True])
+def test_parts_are_copied_by_their_tasks(spark, tmp_path, small_parts, monkeypatch, elsewhere):
+    """On local paths each task copies one part, and the last one none; elsewhere one copies all.  The bytes are the same."""
+    jobs = []
+    whole = sinks.joined._mapped
+    monkeypatch.setattr(sinks.joined, "remote", lambda path: elsewhere)
+    monkeypatch.setattr(sinks.joined, "_mapped", lambda spark, each, f, names: jobs.append((f.__name__, len(each))) or whole(spark, each, f, names))
+    path = str(tmp_path / "x.parquet")
+    sinks.write_single(frame(spark), path, ParquetOptions(row_group_rows=400, encoding="plain", columns=Columns(dictionary=False, bloom=None)))
+    assert jobs[3:] == ([] if elsewhere else [("_place", 7)]) + [("_finish", 1)]
+    assert pq.read_table(path)["id"].to_pylist() == list(range(ROWS))
+
+
 def test_pages_are_whole_up_to_the_last(spark, tmp_path):
     """Row groups end with a page: of 3,333 rows in groups of at most 1,030 and pages of at most 100 there are 34 pages."""
     path = str(tmp_path / "x.parquet")

@@ -73,6 +73,15 @@ def test_parts_make_the_file_of_one_writer(spark, tmp_path, small_parts, writer)
     assert [r.id for r in spark.read.parquet(path).where("id IN (3, 2222, 5049)").orderBy("id").collect()] == [3, 2222, 5049]
 
 
+def test_sorted_file_of_parts(spark, tmp_path, small_parts):
+    spec, path = SortSpec.parse("few:desc,id"), str(tmp_path / "x.parquet")
+    sinks.write_single(core.sort(frame(spark).repartition(5), spec), path, ParquetOptions(row_group_rows=700, sorted_by=spec))
+    t = pq.read_table(path)
+    assert list(zip(t["few"].to_pylist(), t["id"].to_pylist(), strict=True)) == sorted(((k % 13, k) for k in range(ROWS)), key=lambda x: (-x[0], x[1]))
+    found = I.ParquetInspector(path).document()["row_groups"]
+    assert small_parts == [8] and all([(x["column"], x["descending"]) for x in g["sorting_columns"]] == [("few", True), ("id", False)] for g in found)
+
+
 @pytest.mark.parametrize("elsewhere", [False, True])
 def test_parts_are_copied_by_their_tasks(spark, tmp_path, small_parts, monkeypatch, elsewhere):
     """On local paths each task copies one part, and the last one none; elsewhere one copies all.  The bytes are the same."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..fsio import local, scratch_dir
 from ..inspection.inspect import ParquetInspector
-from ..operators import core
+from ..operators import core, windows
 from ..sinks import files as sinks
 from ..sinks.options import ArrowOptions, ParquetOptions
 from ..sources import files as sources
@@ -86,7 +86,6 @@ _sql("grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, COUNT(*)
 _sql("rollup_cube", "lineitem", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM data GROUP BY CUBE (l_returnflag, l_linestatus)")
 _sql("statistics", "lineitem", "SELECT l_returnflag, ROUND(stddev(l_quantity), 6) AS sd, ROUND(median(l_quantity), 6) AS med, ROUND(corr(l_quantity, l_extendedprice), 6) AS c, ROUND(var_pop(l_quantity), 5) AS v FROM data GROUP BY ALL")
 _sql("bool_bit_aggregates", "lineitem", "SELECT l_linestatus, bool_and(l_quantity > 0) AS every, bool_or(l_discount > 0.09) AS some, bit_and(l_orderkey) AS ba, bit_or(l_orderkey) AS bo, bit_xor(l_orderkey) AS bx FROM data GROUP BY 1")
-_sql("window_rank", "orders", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS q, ROUND(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS p, ROUND(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS c FROM data")
 _sql("window_lag", "orders", "SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice, 2) OVER w AS later, first_value(o_orderkey) OVER w AS f, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM data WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 _sql("window_row_number", "orders", "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS n FROM data")
 _sql("topk", "orders", "SELECT o_orderkey, o_totalprice FROM data ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -121,6 +120,17 @@ _sql("dialect_postgres", "region", 'SELECT "r_regionkey"::TEXT AS s FROM data',
 _sql("quoted_names", "orders", 'SELECT "o_orderkey" AS "the key" FROM data WHERE "o_orderstatus" = \'P\'')
 
 
+@_query("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS q, ROUND(percent_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS p, ROUND(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice), 9) AS c FROM orders")
+def window_rank(spark, sf_dir):
+    """Ranks in three groups that each hold a large share of the table."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    rows = windows.with_peers(windows.numbered(o, "o_orderstatus", ["o_totalprice", "o_orderkey"]), "o_orderstatus", "o_totalprice")
+    rows = windows.with_dense_rank(rows, "o_orderstatus", "o_custkey", "d")
+    n = F.col("__rows")
+    share = F.when(n > 1, (F.col("__first") - 1) / (n - 1)).otherwise(F.lit(0.0))
+    return rows.select("o_orderkey", F.col("__first").alias("r"), "d", windows.tile(4).cast("long").alias("q"), F.round(share, 9).alias("p"), F.round(F.col("__last") / n, 9).alias("c"))
+
+
 @_query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def sort_rank_asc(spark, sf_dir):
     """Partition columns first, ascending, then the sort's others."""
@@ -128,22 +138,7 @@ def sort_rank_asc(spark, sf_dir):
     return _placed(core.sort(_table(spark, sf_dir, "orders"), spec).select("o_orderkey"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows with their place in a sorted result: the number within each partition and the sizes of those before it.
-
-    The sorted rows are written once: sorted again, they might be cut into other partitions.
-    """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "placed")
-    rows.withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
-    marked = spark.read.parquet(path)
-    parts = marked.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, total = {}, 0
-    for r in parts:
-        before[r.p], total = total, total + r.n
-    table = spark.createDataFrame([(p, b) for p, b in before.items()] or [(0, 0)], "p long, b long")
-    low = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.join(F.broadcast(table), F.shiftright("_m", 33) == F.col("p")).withColumn("place", low + F.col("b") + 1).drop("_m", "p", "b")
+_placed = windows.placed
 
 
 @_query("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'P') ASC NULLS LAST, NULLIF(o_custkey % 3, 0) DESC NULLS FIRST, o_orderkey) AS place FROM orders")
